@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.llm import quality_rules
+from wrenfold.llm import quality_rules, simhash, url_filters
 from wrenfold.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (fail_bits & {quality_rules.mask("base")}) <> 0 AS base_failed, (fail_bits & {quality_rules.mask("v2")}) = 0 AS kept, fail_bits
 FROM b
 """
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, at three-word shingles and three bits."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, limit=3)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
