@@ -3,8 +3,8 @@
 Rules judge a url by its host (or a parent domain) and the start of its path; of the rules that fit, the longest
 wins. Urls that no rule fits get the verdict of their host. For it, two scores spread over the host graph:
 personalised PageRank from the hosts whose urls rules allow, along links, and from the hosts whose urls rules
-block, against links (who links to the blocked is distrusted). Both sum to one, as the seeds do; a host whose
-share of distrust, distrust / (trust + distrust), exceeds the threshold is blocked.
+block, against links (who links to the blocked is distrusted). A seed counts by its number of ruled urls; a host
+whose share of distrust, distrust / (trust + distrust), exceeds the threshold is blocked.
 
 Defined cases: a url that is null or has no `://` has empty host and path, which no rule fits, and is allowed; a
 null html has no links; a host that neither score reaches is allowed; repeated rows each get their verdict, and
@@ -13,8 +13,6 @@ count as often as seeds; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,29 +55,19 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 16, cut_every: int = 4) -> DataFrame:
     """Personalised PageRank of several kinds at once: (kind, host, score).
 
-    edges: (kind, src, dst, w), seeds: (kind, host, seed); w sums to one over a src, seed over a kind. What sits on
-    a host without outgoing links returns to the seeds of its kind. The error after `rounds` is below damping**rounds.
+    edges: (kind, src, dst, w), w summing to one over a src; seeds: (kind, host, seed). A round keeps 1 - damping
+    of the seeds and moves damping of every score along its host's edges; what reaches a host without edges ends
+    there. After `rounds` the scores lack less than damping**rounds of the seeds' total.
     """
-    ends = edges.select("kind", F.col("src").alias("host")).distinct().withColumn("onward", F.lit(True))
+    kept = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     state = seeds.select("kind", "host", F.col("seed").alias("score"))
+    moves = edges.withColumnRenamed("src", "host")
     for k in range(rounds):
-        moved = (
-            state.join(edges.withColumnRenamed("src", "host"), ["kind", "host"])
-            .groupBy("kind", F.col("dst").alias("host"))
-            .agg((F.sum(F.col("score") * F.col("w")) * damping).alias("score"))
-        )
-        stuck = (
-            state.join(ends, ["kind", "host"], "left")
-            .groupBy("kind")
-            .agg(F.coalesce(F.sum(F.when(F.col("onward").isNull(), F.col("score"))), F.lit(0.0)).alias("stuck"))
-        )
-        back = seeds.join(F.broadcast(stuck), "kind").select(
-            "kind", "host", (F.col("seed") * (1 - damping + damping * F.col("stuck"))).alias("score")
-        )
-        state = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        moved = state.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
+        state = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if (k + 1) % cut_every == 0:
             state = written(state, "host-scores")
     return state
@@ -92,7 +80,7 @@ def judge(
     rules: tuple[tuple[str, str, str], ...] = RULES,
     threshold: float = 0.75,
     damping: float = 0.85,
-    rounds: int = 20,
+    rounds: int = 16,
 ) -> DataFrame:
     """The input's columns but html, and host, path, rule, verdict, trust, distrust."""
     host, path = host_and_path(F.col(url_col))
@@ -106,11 +94,11 @@ def judge(
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     both = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")), "host-moves")
 
-    ruled = judged.where("by_rule is not null").groupBy(
+    ruled = written(judged.where("by_rule is not null").groupBy(
         F.when(F.col("by_rule.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    total = ruled.groupBy("kind").agg(F.sum("n").alias("total"))
-    seeds = written(ruled.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "host-seeds")
+    ).agg(F.count(F.lit(1)).alias("n")), "host-seeds")
+    total = ruled.agg(F.sum("n")).first()[0] or 1
+    seeds = ruled.select("kind", "host", (F.col("n") / total).alias("seed"))
 
     scores = spread(both, seeds, damping, rounds).groupBy("host").agg(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
