@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.llm import quality_rules, simhash, url_filters
-from wrenfold.llm.common import read_table
+from wrenfold.llm import packing, quality_rules, simhash, token_files, url_filters
+from wrenfold.llm.common import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, at three-word shingles and three bits."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, limit=3)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written in files and read from them."""
+    folder = new_path(spark, "token-files")
+    listing = token_files.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(listing).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
