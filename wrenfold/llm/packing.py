@@ -102,8 +102,8 @@ def pack(
 
         packer = Packer(size, windows, lambda window, pieces: rows(window, pieces, False))
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype(np.uint32)
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode.many(x.as_py() for x in b.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                 packer.put((doc_id, ids), len(ids))
                 if len(done) >= 2000:
                     yield batch()

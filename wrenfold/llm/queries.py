@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.llm import packing, quality_rules, simhash, token_files, url_filters
+from wrenfold.llm import bpe, packing, quality_rules, simhash, token_files, url_filters
 from wrenfold.llm.common import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,16 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     listing = token_files.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read(listing).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

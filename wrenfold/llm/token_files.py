@@ -147,14 +147,14 @@ def write(
         store, base = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
         n = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            encode = encode or word_encoder(tokenizer)
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode.many(x.as_py() for x in b.column(1)), strict=True):
                 if writer is None:
-                    encode = word_encoder(tokenizer)
                     store.create_dir(base, recursive=True)
                     draft = f"{base}/.draft-{context.partitionId()}-{context.taskAttemptId()}"
                     stream = store.open_output_stream(draft)
                     writer = FileWriter(stream)
-                writer.add(doc_id, np.append(encode(text.as_py()), np.uint32(end_id)).astype(np.uint32))
+                writer.add(doc_id, np.append(ids, np.uint32(end_id)).astype(np.uint32))
                 n += 1
         if writer is not None:
             writer.close()

@@ -7,12 +7,14 @@ gathered from the chunks' ids with numpy. The store of chunks is emptied when it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
 #: Chunks that a task keeps.
 KEPT = 300_000
+#: Chunks after which the texts read so far are encoded.
+GROUP = 200_000
 
 _TO_SPACE = str.maketrans("\t\n\x0b\f\r", "     ")
 
@@ -45,7 +47,8 @@ class ChunkEncoder:
         self.places.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, end + np.cumsum(sizes)])
 
-    def _of(self, chunks: list[str]) -> np.ndarray:
+    def _of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks, and where each chunk's end."""
         if len(self.places) > self.kept:
             self.clear()
         get = self.places.get
@@ -58,16 +61,24 @@ class ChunkEncoder:
         starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
         into = np.cumsum(sizes)
         take = np.repeat(starts - (into - sizes), sizes) + np.arange(int(into[-1]) if len(into) else 0)
-        return self.ids[take]
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The ids of the whole text, a null text's none."""
-        if not text:
-            return np.empty(0, np.uint32)
-        chunks = self.split(text)
-        step = self.kept
-        parts = [self._of(chunks[i : i + step]) for i in range(0, len(chunks), step)]
-        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
+        return self.ids[take], into
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each whole text, a null text's none; texts are taken together up to GROUP chunks."""
+        chunks: list[str] = []
+        ends: list[int] = []
+        for text in texts:
+            chunks += self.split(text) if text else []
+            ends.append(len(chunks))
+            if len(chunks) >= GROUP:
+                yield from self._cut(chunks, ends)
+                chunks, ends = [], []
+        yield from self._cut(chunks, ends)
+
+    def _cut(self, chunks: list[str], ends: list[int]) -> list[np.ndarray]:
+        ids, into = self._of(chunks)
+        into = np.concatenate([[0], into]).astype(np.int64)
+        return np.split(ids, into[ends[:-1]]) if ends else []
 
 
 def word_encoder(path: str) -> ChunkEncoder:
