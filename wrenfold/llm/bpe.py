@@ -17,7 +17,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +211,11 @@ class Codec:
         return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    return Codec(path)
+
+
 _SPACE, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
 
 
@@ -218,7 +223,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str
     """(doc_id, ids), ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer)
+        codec = codec_of(tokenizer)
         for batch in batches:
             ids = [le_bytes(x) for x in codec.encoder.many(x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -230,7 +235,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, decoded) of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer)
+        codec = codec_of(tokenizer)
         for batch in batches:
             texts = [codec.decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])

@@ -2,17 +2,20 @@
 
 Where a tokenizer splits texts at white space before its merges, a text's ids are those of its chunks one after
 another. So a task encodes each distinct chunk once, many at a time, and keeps what it has met; texts are then
-gathered from the chunks' ids with numpy. The store of chunks is emptied when it is full, so memory is bounded.
+gathered from the chunks' ids with numpy. When the store of chunks is full it forgets those met last, so memory is
+bounded; a Python worker keeps it from task to task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 #: Chunks that a task keeps.
-KEPT = 300_000
+KEPT = 400_000
 #: Chunks after which the texts read so far are encoded.
 GROUP = 200_000
 
@@ -25,15 +28,19 @@ class ChunkEncoder:
     split: a text's chunks, encode: the ids of each of a list of chunks.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[list[int]]], kept: int = KEPT):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[np.ndarray]], kept: int = KEPT):
         self.split, self.encode, self.kept = split, encode, kept
-        self.clear()
-
-    def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _drop(self) -> None:
+        """Keeps the half that was met first, in which the frequent chunks are."""
+        half = self.kept // 2
+        self.places = dict(islice(self.places.items(), half))
+        self.starts = self.starts[: half + 1].copy()
+        self.ids = self.ids[: int(self.starts[-1])].copy()
+
     def _add(self, chunks: list[str]) -> None:
         found = list(self.encode(chunks))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -42,7 +49,7 @@ class ChunkEncoder:
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[:end], np.empty(max(need, 2 * len(self.ids)) - end, np.uint32)])
         if need > end:
-            self.ids[end:need] = np.concatenate([np.asarray(x, np.uint32) for x in found if len(x)])
+            self.ids[end:need] = np.concatenate(found)
         first = len(self.starts) - 1
         self.places.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, end + np.cumsum(sizes)])
@@ -50,7 +57,7 @@ class ChunkEncoder:
     def _of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks, and where each chunk's end."""
         if len(self.places) > self.kept:
-            self.clear()
+            self._drop()
         get = self.places.get
         at = [get(c, -1) for c in chunks]
         if -1 in at:
@@ -81,6 +88,7 @@ class ChunkEncoder:
         return np.split(ids, into[ends[:-1]]) if ends else []
 
 
+@lru_cache(maxsize=2)
 def word_encoder(path: str) -> ChunkEncoder:
     """For files whose pre-tokenizer drops white space, such as word_bpe_49k.json.
 
@@ -93,10 +101,19 @@ def word_encoder(path: str) -> ChunkEncoder:
     model.no_truncation()
     model.no_padding()
 
-    def encode(chunks: list[str]) -> Iterable[list[int]]:
-        for i in range(0, len(chunks), 4096):
-            for e in model.encode_batch(chunks[i : i + 4096], add_special_tokens=False):
-                yield e.ids
+    special = model.get_added_tokens_decoder()
+    mark, mark_id = next(((t.content, i) for i, t in sorted(special.items())), (None, -1))
+
+    def encode(chunks: list[str]) -> Iterable[np.ndarray]:
+        for i in range(0, len(chunks), 8192):
+            part = chunks[i : i + 8192]
+            text = mark and mark.join(part)
+            if text is None or text.count(mark) != len(part) - 1:  # a chunk holds the mark
+                yield from (np.asarray(e.ids, np.uint32) for e in model.encode_batch_fast(part, add_special_tokens=False))
+            else:  # a special token parts texts as nothing else does
+                ids = np.asarray(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                at = np.flatnonzero(ids == mark_id)
+                yield from np.split(np.delete(ids, at), at - np.arange(len(at)))
 
     return ChunkEncoder(lambda text: [c for c in text.translate(_TO_SPACE).split(" ") if c], encode)
 
