@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.llm import bpe, language_id, nearest, packing, quality_rules, simhash, token_files, url_filters
+from wrenfold.llm import bpe, language_id, lm, nearest, packing, quality_rules, simhash, token_files, url_filters
 from wrenfold.llm.common import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,20 @@ WITH e AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the model learns from nine of ten folds of ids."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm.train(docs.where(~language_id.in_fold("doc_id", 10)))
+    scored = lm.score(docs, model, counts)
+    return scored.select(
+        "doc_id",
+        language_id.in_fold("doc_id", 10).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
