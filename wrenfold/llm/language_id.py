@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of the weight table: features are hashed to these.
 BUCKETS = 1 << 17
@@ -195,7 +196,10 @@ def train(docs: DataFrame, per_language: int = 400, **columns: str) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score, switches): switches counts neighbouring words of different likeliest languages."""
+    """(doc_id, lang_pred, score, switches): switches counts neighbouring words of different likeliest languages.
+
+    The id may be of any type, a struct of all columns too.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +209,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *_predict(m, batch.column(1).to_pylist())], ["doc_id", "lang_pred", "score", "switches"])
 
     # a task's batch advances as one, so it is kept to a few MB of text
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, switches long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = StructType.fromDDL("lang_pred string, score double, switches long")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *found.fields]))
 
 
 def _predict(model: Model, texts: list[str | None]) -> list[pa.Array]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.llm import bpe, language_id, lm, nearest, packing, quality_rules, simhash, token_files, url_filters
+from wrenfold.llm import bpe, language_id, lm, nearest, packing, quality_classifier, quality_rules, simhash, token_files, url_filters
 from wrenfold.llm.common import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; a source is a host, its languages are its paths."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_classifier.judge(quality_classifier.evidence(docs, model, "source", "lang"))

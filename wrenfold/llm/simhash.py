@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wrenfold.llm.common import written
 
@@ -61,15 +62,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3) -> DataFrame:
-    """(doc_id, fp), fp a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns to carry, fp), fp a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py(), size) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(x.as_py(), size) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], [*batch.schema.names[1:], "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *carry)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("fp", LongType())]))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> None:
@@ -270,12 +272,22 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, limit: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of docs; component_id is the least doc_id that links reach."""
-    prints = written(fingerprints(docs, text_col, id_col, size), "fingerprints")
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, limit: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns to carry, fp, label, component_id), a row for each row of docs.
+
+    label names the component, by one of its fingerprints; component_id is the least doc_id in it.
+    """
+    prints = written(fingerprints(docs, text_col, id_col, size, carry), "fingerprints")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     labels = components(links(reps.select("fp"), limit))
     named = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "label").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(least, "label").select("fp", "label", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, limit: int = 3) -> DataFrame:
+    """One row of docs for each component: of the least id (if any row has one), then of the least text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("doc"))
+    found = near_duplicates(rows, size=size, limit=limit, carry=("doc",)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a hot group is cut down to a row a task before the shuffle
+    return found.groupBy("label").agg(F.min_by("doc", F.struct(f"doc.{text_col}")).alias("doc")).select("doc.*")
