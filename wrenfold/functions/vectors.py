@@ -29,8 +29,8 @@ def normalise(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Within -1 and 1; 0 for empty or zero vectors and for unlike lengths."""
     n = length(a) * length(b)
-    value = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b) / F.nullif(n, F.lit(0.0))))
-    return F.coalesce(F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), value), F.lit(0.0))
+    value = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(dot(a, b), n)))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0), value).otherwise(0.0)
 
 
 @F.pandas_udf(BinaryType())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenfold.functions.textops import has_all_tags
@@ -36,6 +36,11 @@ def vector_top(
     return scored.orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= floor)
 
 
+def _frame(**columns: list | np.ndarray) -> pd.DataFrame:
+    """Columns of plain objects, which Spark converts by its own schema, empty ones too."""
+    return pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in columns.items()})
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -71,12 +76,12 @@ def cosine_pairs(rows: DataFrame, least: float) -> DataFrame:
 
     def within(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+            return _frame(a=[], b=[], cosine=[])
         c = np.clip(_unit(x["vector"]) @ _unit(y["vector"]).T, -1, 1)
         i, j = np.nonzero(c >= least)
         a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
         ok = a < b
-        return pd.DataFrame({"a": a[ok], "b": b[ok], "cosine": c[i, j][ok]})
+        return _frame(a=a[ok], b=b[ok], cosine=c[i, j][ok])
 
     kind = dict(rows.dtypes)["id"]
     return compare(rows, rows, within, f"a {kind}, b {kind}, cosine double")
@@ -89,21 +94,15 @@ def near_duplicates(incoming: DataFrame, existing: DataFrame, least: float = NEA
     """
 
     def within(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {"id": [], "match": [], "updated_at": []}
-        if len(x) and len(y):
-            y = y.sort_values(["updated_at", "id"], ascending=[False, True], kind="stable")
-            near = _unit(x["vector"]) @ _unit(y["vector"]).T >= least
-            some = near.any(axis=1)
-            first = near[some].argmax(axis=1)
-            out = {"id": x["id"].to_numpy()[some], "match": y["id"].to_numpy()[first], "updated_at": y["updated_at"].to_numpy()[first]}
-        return pd.DataFrame(out)
-
-    kind, other = dict(incoming.dtypes)["id"], dict(existing.dtypes)
-    found = compare(incoming, existing, within, f"id {kind}, match {other['id']}, updated_at {other['updated_at']}")
-    best = F.min(F.struct(_late(F.col("updated_at")), "match"))
-    return found.groupBy("id").agg(best["match"].alias("match"))
-
-
-def _late(at: Column) -> Column:
-    """A key that is less the later the time."""
-    return (-F.unix_micros(at.cast("timestamp"))).alias("late")
+        if not len(x) or not len(y):
+            return _frame(id=[], match=[], age=[])
+        y = y.sort_values(["age", "id"], kind="stable")
+        near = _unit(x["vector"]) @ _unit(y["vector"]).T >= least
+        some = near.any(axis=1)
+        first = near[some].argmax(axis=1)
+        return _frame(id=x["id"].to_numpy()[some], match=y["id"].to_numpy()[first], age=y["age"].to_numpy()[first])
+
+    kind, other = dict(incoming.dtypes)["id"], dict(existing.dtypes)["id"]
+    aged = existing.select("id", "scope", "vector", (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("age"))
+    found = compare(incoming, aged, within, f"id {kind}, match {other}, age long")
+    return found.groupBy("id").agg(F.min(F.struct("age", "match"))["match"].alias("match"))

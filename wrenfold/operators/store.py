@@ -115,12 +115,13 @@ class KnowledgeStore:
         at = at if at is not None else F.current_timestamp()
         checked = prepare(saves, self.embed).withColumn("now", at)
         known = self.current()
-        plan = resolve(checked, known)
-        writes = fold(plan.where("reason is null"), known)
-        report = plan.select("seq", "entry_id", "reason", "deduplicated", "merged", "secrets_redacted")
-        report.write.parquet(path := f"{self.root}/reports/{uuid.uuid4().hex}")
-        self._append(writes)
-        return self.spark.read.schema(report.schema).parquet(path)
+        # resolved once and staged, so that report and log agree on new ids and times
+        path = f"{self.root}/saves/{uuid.uuid4().hex}"
+        resolved = resolve(checked, known)
+        resolved.write.parquet(path)
+        plan = self.spark.read.schema(resolved.schema).parquet(path)
+        self._append(fold(plan.where("reason is null"), known))
+        return plan.select("seq", "entry_id", "reason", "deduplicated", "merged", "secrets_redacted")
 
     def delete(self, ids: list[str]) -> int:
         """Deletes entries, and returns how many were there. Their history stays."""
