@@ -17,7 +17,9 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from wrenfold.functions.redaction import redact
 from wrenfold.functions.textops import bounded, clean_tags, dedup_key, embed_text, has_all_tags, head_bytes, kind_or
 from wrenfold.functions.vectors import bucket_embedding
+from wrenfold.functions import render
 from wrenfold.operators import fusion, lexical, merge, similarity, versions
+from wrenfold.sources.records import export_array, export_lines, imported
 from wrenfold.schema import LIMITS, NEAR_DUPLICATE, RECORD, VECTOR, WEIGHTS
 
 LOG = StructType([StructField("entry_id", StringType()), StructField("seq", LongType()), StructField("op", StringType()), StructField("at", TimestampType()), *RECORD.fields, VECTOR, StructField("batch", IntegerType())])
@@ -141,6 +143,59 @@ class KnowledgeStore:
             raise ValueError(f"no version {version} of {entry_id}")
         self._append(writes)
 
+    def import_records(self, records: DataFrame, by_key: bool = False) -> int:
+        """Takes records as they are, without redaction or merging, and returns how many.
+
+        by_key: a record overwrites the entry of its key, or becomes a new one; those without a key are always new.
+        Otherwise every record's id must be there (ValueError if not), and that entry is overwritten.
+        """
+        rows = imported(records).withColumns({"now": F.current_timestamp(), "seq": F.monotonically_increasing_id()})
+        known = self.current()
+        if by_key:
+            keys = known.where("dedup_key is not null").select("dedup_key", F.col("id").alias("was"), F.col("created_at").alias("since"))
+            rows = rows.join(keys, "dedup_key", "left")
+            own = F.coalesce("dedup_key", F.concat(F.lit("row "), F.col("seq").cast("string")))
+            new = F.concat(F.lit("k-"), F.sha2(F.concat_ws("|", own, F.col("now").cast("string")), 256))
+            rows = rows.withColumns({"entry_id": F.coalesce("was", new), "op": F.when(F.col("was").isNull(), "insert").otherwise("merge")})
+        else:
+            rows = rows.join(known.select("id", F.col("id").alias("was"), F.col("created_at").alias("since")), "id", "left")
+            rows = rows.withColumns({"entry_id": F.col("was"), "op": F.lit("update")})
+        path = f"{self.root}/imports/{uuid.uuid4().hex}"
+        vector = self.embed(embed_text(*[F.col(c) for c in TEXTS], F.col("tags"))) if self.embed else F.array().cast("array<float>")
+        rows = rows.withColumns({"embedding": vector, "id": F.col("entry_id"), "created_at": F.coalesce("since", "now"), "updated_at": F.col("now"), "at": F.col("now")})
+        rows.write.parquet(path)
+        staged = self.spark.read.schema(rows.schema).parquet(path)
+        n, unknown = staged.agg(F.count(F.lit(1)), F.count_if(F.col("entry_id").isNull())).first()
+        if unknown:
+            raise ValueError(f"{unknown} records have ids that are not there")
+        if n:
+            self._append(staged)
+        return n
+
+    def export_records(self, path: str, scope: str | None = None, lines: bool = False) -> int:
+        """Writes the records, the latest first, as JSON lines or arrays, and returns how many."""
+        rows = self.current()
+        (export_lines if lines else export_array)(rows, path, scope)
+        return (rows if scope is None else rows.where(F.col("project_scope") == scope)).count()
+
+    def size_bytes(self) -> int:
+        """Bytes of the log's files; 0 where there is none."""
+        if not self._exists():
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def report(self) -> str:
+        """The statistics as text."""
+        row = self.stats().first()
+        head = [f"Folder:             {self.root}", f"Total entries:      {row['total_entries']}", f"Audit revisions:    {row['total_history_revisions']}"]
+        head += [f"Size:               {self.size_bytes() / 1024:.2f} KB", f"Vectors:            {row['semantic_active']}", "", "Scopes:"]
+        return "\n".join([*head, *[f"  - {p['scope']:<20} : {p['n']} entries" for p in row["projects"]]])
+
+    def recent_markdown(self, n: int = 20) -> str:
+        rows = self.recent(n)
+        return "# Recent Knowledge Entries\n\n" + "".join(r["m"] for r in rows.select(render.recent({c: F.col(c) for c in rows.columns}).alias("m")).collect())
+
     def reindex(self) -> None:
         """Embeds every record anew; each gets a history row."""
         if self.embed is None:
