@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SMALL
 from pyspark.sql import functions as F
 
 from wrenfold.llm import language_id, lm, nearest, quality_classifier, queries
@@ -168,4 +167,3 @@ def test_nearest(spark, monkeypatch, q_block, block):
         assert r["rank"] == len(got[r["query_id"]])
     assert got == brute_nearest(rows, lambda i: i % 10 == 0, 5)
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 10 == 0, 5).count() == 0
-    assert SMALL

@@ -1,15 +1,16 @@
 """Quality rules and url filters: SQL or brute force on small tables, and the edge cases."""
 
+import re
+
 import duckdb
 import pytest
 from conftest import SMALL
-from pyspark.sql import functions as F
 
 from wrenfold.llm import quality_rules, queries, url_filters
 
 
 def brute_repeats(text):
-    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + d for i, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
 
@@ -28,9 +29,9 @@ def test_measures(spark):
     for i, t in EDGES:
         if t and len(t) > 50_000:
             continue
-        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w]
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
         r = by[i, len(words)]
-        lines = [x for x in (t or "").split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert r["word_chars"] == sum(map(len, words)) and r["n_dup_lines"] == len(lines) - len(set(lines))
         assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "")
         assert r["n_repeat_words"] == (5000 if i == 8 else brute_repeats(t))
@@ -114,4 +115,3 @@ def test_no_python_on_the_native_paths(spark):
     for df in (queries.op1_quality_rules(spark, SMALL), queries.op2_url_filters(spark, SMALL)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert F is not None

@@ -114,8 +114,8 @@ class Codec:
         parts = _SPACE.split(text) if _ODD.search(text) else text.split(" ")
         return [*parts[:1], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
 
-    def of_chunks(self, chunks: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each chunk."""
+    def of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks one after another, and each chunk's number of them."""
         places: dict[str, int] = {}
         place = places.setdefault
         words = [[c] if c in self.special else self.words(c) for c in chunks]
@@ -125,8 +125,8 @@ class Codec:
         sizes = (ends - starts)[at]
         into = np.cumsum(sizes)
         flat = ids[np.repeat(starts[at] - (into - sizes), sizes) + np.arange(int(into[-1]) if len(into) else 0)]
-        of_chunk = np.cumsum([len(ws) for ws in words])
-        return iter(np.split(flat, np.concatenate([[0], into])[of_chunk[:-1]].astype(np.int64)))
+        ends = np.concatenate([[0], into])[np.cumsum([len(ws) for ws in words])].astype(np.int64)
+        return flat, np.diff(ends, prepend=0)
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and where each word's end."""

@@ -8,29 +8,29 @@ bounded; a Python worker keeps it from task to task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
+import regex
+from tokenizers import Tokenizer
 
 #: Chunks that a task keeps.
 KEPT = 400_000
 #: Chunks after which the texts read so far are encoded.
 GROUP = 200_000
 
-_TO_SPACE = str.maketrans("\t\n\x0b\f\r", "     ")
-
-
 class ChunkEncoder:
     """Ids of texts from the ids of their chunks.
 
-    split: a text's chunks, encode: the ids of each of a list of chunks.
+    split: a text's chunks; encode: the ids of a list of chunks one after another, and each chunk's number of them.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[np.ndarray]], kept: int = KEPT):
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], kept: int = KEPT):
         self.split, self.encode, self.kept = split, encode, kept
-        self.places: dict[str, int] = {}
+        self.places: dict = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
@@ -41,30 +41,29 @@ class ChunkEncoder:
         self.starts = self.starts[: half + 1].copy()
         self.ids = self.ids[: int(self.starts[-1])].copy()
 
-    def _add(self, chunks: list[str]) -> None:
-        found = list(self.encode(chunks))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+    def _add(self, chunks: list) -> None:
+        found, sizes = self.encode(chunks)
         end = int(self.starts[-1])
         need = end + int(sizes.sum())
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[:end], np.empty(max(need, 2 * len(self.ids)) - end, np.uint32)])
         if need > end:
-            self.ids[end:need] = np.concatenate(found)
+            self.ids[end:need] = found
         first = len(self.starts) - 1
         self.places.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, end + np.cumsum(sizes)])
 
-    def _of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _of(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks, and where each chunk's end."""
         if len(self.places) > self.kept:
             self._drop()
         get = self.places.get
-        at = [get(c, -1) for c in chunks]
-        if -1 in at:
-            self._add(list(dict.fromkeys(c for c, k in zip(chunks, at, strict=True) if k < 0)))
-            get = self.places.get
-            at = [get(c) for c in chunks]
-        at = np.array(at, np.int64)
+        at = np.array([get(c, -1) for c in chunks], np.int64)
+        out = np.flatnonzero(at < 0).tolist()
+        if out:
+            missing = [chunks[k] for k in out]
+            self._add(list(dict.fromkeys(missing)))
+            at[out] = [self.places[c] for c in missing]
         starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
         into = np.cumsum(sizes)
         take = np.repeat(starts - (into - sizes), sizes) + np.arange(int(into[-1]) if len(into) else 0)
@@ -72,7 +71,7 @@ class ChunkEncoder:
 
     def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each whole text, a null text's none; texts are taken together up to GROUP chunks."""
-        chunks: list[str] = []
+        chunks: list = []
         ends: list[int] = []
         for text in texts:
             chunks += self.split(text) if text else []
@@ -82,7 +81,7 @@ class ChunkEncoder:
                 chunks, ends = [], []
         yield from self._cut(chunks, ends)
 
-    def _cut(self, chunks: list[str], ends: list[int]) -> list[np.ndarray]:
+    def _cut(self, chunks: list, ends: list[int]) -> list[np.ndarray]:
         ids, into = self._of(chunks)
         into = np.concatenate([[0], into]).astype(np.int64)
         return np.split(ids, into[ends[:-1]]) if ends else []
@@ -93,10 +92,10 @@ def word_encoder(path: str) -> ChunkEncoder:
     """For files whose pre-tokenizer drops white space, such as word_bpe_49k.json.
 
     ASCII blanks bound chunks: neither normalizer nor splits nor merges reach across them. A special token's
-    string in a text is that token, as the library has it; no such string holds a blank.
+    string in a text is that token, as the library has it; no such string holds a blank. Chunks are UTF-8. Where
+    the tokenizer makes letters small, A-Z are made small beforehand, so fewer chunks differ; not in texts with
+    combining marks, which join small letters that they do not join when large, nor with a special token.
     """
-    from tokenizers import Tokenizer
-
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
@@ -104,18 +103,69 @@ def word_encoder(path: str) -> ChunkEncoder:
     special = model.get_added_tokens_decoder()
     mark, mark_id = next(((t.content, i) for i, t in sorted(special.items())), (None, -1))
 
-    def encode(chunks: list[str]) -> Iterable[np.ndarray]:
-        for i in range(0, len(chunks), 8192):
-            part = chunks[i : i + 8192]
-            text = mark and mark.join(part)
-            if text is None or text.count(mark) != len(part) - 1:  # a chunk holds the mark
-                yield from (np.asarray(e.ids, np.uint32) for e in model.encode_batch_fast(part, add_special_tokens=False))
-            else:  # a special token parts texts as nothing else does
-                ids = np.asarray(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                at = np.flatnonzero(ids == mark_id)
-                yield from np.split(np.delete(ids, at), at - np.arange(len(at)))
-
-    return ChunkEncoder(lambda text: [c for c in text.translate(_TO_SPACE).split(" ") if c], encode)
+    lowers = '"Lowercase"' in (model.normalizer.__getstate__().decode() if model.normalizer else "")
+    strings = [t.content for t in special.values()]
+
+    def split(text: str) -> list[bytes]:
+        raw = text.encode("utf-8")
+        if lowers and (len(raw) == len(text) or not _MARK.search(text)) and not any(s in text for s in strings):
+            raw = raw.lower()
+        return raw.split()
+
+    def by_library(chunks: list[str]) -> list[list[int]]:
+        text = mark and mark.join(chunks)
+        if text is None or text.count(mark) != len(chunks) - 1:  # a chunk holds the mark
+            return [e.ids for e in model.encode_batch_fast(chunks, add_special_tokens=False)]
+        # a special token parts texts as nothing else does
+        ids = np.asarray(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(ids == mark_id)
+        return [x.tolist() for x in np.split(np.delete(ids, at), at - np.arange(len(at)))]
+
+    tokenize = model.model.tokenize
+
+    @lru_cache(maxsize=50_000)
+    def piece(word: str) -> list[int]:
+        return [t.id for t in tokenize(word.encode("utf-8").decode("latin-1").translate(_LETTERS))]
+
+    plain = _drops_blanks(model) and not any(s.isalpha() for s in strings)
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [c.decode("utf-8") for c in chunks]
+        found: list[list[int] | None] = [None] * len(texts)
+        if plain:  # a Latin word with stops around it is just its parts, which go to the merges without more ado
+            for k, text in enumerate(texts):
+                body = text.strip(_STOPS)
+                if body.isalpha() and max(body) < "\u0250" and body.lower() == body:
+                    at = text.index(body)
+                    head, tail = text[:at], text[at + len(body) :]
+                    if (head or tail) and any(s in text for s in strings):
+                        continue
+                    found[k] = [*(piece(head) if head else ()), *[t.id for t in tokenize(body.encode("utf-8").decode("latin-1").translate(_LETTERS))], *(piece(tail) if tail else ())]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for k, ids in zip(part, by_library([texts[k] for k in part]), strict=True):
+                found[k] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    return ChunkEncoder(split, encode)
+
+
+def _drops_blanks(model: Tokenizer) -> bool:
+    """Whether the file makes letters small in NFC, splits into runs of letters, digits and runs of others, and maps bytes."""
+    spec = json.loads(model.to_str())
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+    return steps == ["NFC", "Replace", "Lowercase"] and [p["pattern"].get("Regex") for p in splits] == [_SPLIT]
+
+
+#: The split that word files make, ASCII marks but the apostrophe, and byte-level letters.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_MARK = regex.compile(r"\p{M}")
 
 
 def le_bytes(ids: np.ndarray) -> bytes:
