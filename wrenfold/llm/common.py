@@ -48,3 +48,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def least_hashes(h: Column, wanted: int, total: Column) -> Column:
+    """Whether a hash is among the least of `total`, four times `wanted` of them on average.
+
+    Narrows rows in the scanning tasks before the exact choice of the `wanted` least, so that what is sorted in
+    one place does not grow with the number of tasks.
+    """
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted) / F.greatest(total, F.lit(1)).cast("double"))
+    return h.cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)

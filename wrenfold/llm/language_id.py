@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wrenfold.llm.common import least_hashes, written
+
 #: Rows of the weight table: features are hashed to these.
 BUCKETS = 1 << 17
 #: Words of a training sequence, and longest run of one language in it, on average.
@@ -184,6 +186,9 @@ def training_rows(docs: DataFrame, per_language: int = 400, text_col: str = "tex
     """(text, lang), at most per_language rows a language: those of the least hash of id, then text."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "language-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    rows = rows.join(sizes, "lang").where(least_hashes(F.col("h"), per_language, F.col("total"))).drop("total")
     order = Window.partitionBy("lang").orderBy("h", "text")
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("text", "lang")
 

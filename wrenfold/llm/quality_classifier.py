@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenfold.llm.common import written
+from wrenfold.llm.common import least_hashes, written
 
 #: Classes of bytes: end of line, blank, small, large, digit, stop, mark, other ASCII, continuation, lead of 2, of more.
 _CLASSES = 11
@@ -87,7 +87,8 @@ def fit(texts: list[str], good: list[int], steps: int = 400, rate: float = 0.3,
 def train(docs: DataFrame, labels: DataFrame, most: int = 4000, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """Fits the evidence to the labelled rows of the least hash of their ids, at most `most`."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
+    h = F.xxhash64(id_col)
+    chosen = known.where(least_hashes(h, most, F.lit(known.count()))).orderBy(h, id_col).limit(most)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     sample = rows.select("text", "y", id_col).dropDuplicates([id_col]).collect()  # `most` rows at most
     sample.sort(key=lambda r: r[id_col])
