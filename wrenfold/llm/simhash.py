@@ -35,7 +35,7 @@ from wrenfold.llm.common import written
 #: Fingerprints that a trie node of the shuffle holds, about; beyond CHUNK times as many it is cut.
 NODE_ROWS, CHUNK = 2048, 8
 #: Pairs of nodes that a walk holds at once.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 def _hashes(text: str | None, size: int) -> np.ndarray:
