@@ -51,10 +51,10 @@ def test_policies_and_ablation(spark):
     assert got["few_words"] == (2, 1, 4) and got["repeated_words"] == (1, 0, 3) and got["many_symbols"] == (2, 2, 5)
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op9_nearest_neighbours"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_url_filters", "op9_nearest_neighbours"])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     ours = queries.QUERIES[name](spark, SMALL)
     theirs = con.sql(queries.ORACLES[name])

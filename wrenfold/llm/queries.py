@@ -74,7 +74,53 @@ FROM b
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    judged = url_filters.judge(pages)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def _host_sql(url: str) -> str:
+    small = "abcdefghijklmnopqrstuvwxyz"
+    return f"translate(regexp_extract(regexp_extract(coalesce({url}, ''), '(?s)^.*?://(.*)$', 1), '^[^/?#]*'), '{small.upper()}', '{small}')"
+
+
+def _rules_sql(value: int) -> str:
+    """The verdict (0) or text (1) of the longest rule that fits."""
+    longest_first = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
+    whens = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(v, h + p)[value]}'" for v, h, p in longest_first]
+    return f"CASE {' '.join(whens)} END"
+
+
+_ROUNDS_SQL = ", ".join(
+    f"s{k} AS (SELECT kind, host, sum(score) AS score FROM (SELECT s.kind, m.dst AS host, s.score * m.w * 0.85::DOUBLE AS score "
+    f"FROM s{k - 1} s JOIN moves m ON m.kind = s.kind AND m.src = s.host UNION ALL SELECT kind, host, seed * (1 - 0.85::DOUBLE) FROM seeds) GROUP BY kind, host)"
+    for k in range(1, 17)
+)
+ORACLES["op2_url_filters"] = rf"""
+WITH p AS (
+  SELECT page_id, html, {_host_sql("url")} AS host,
+    regexp_extract(regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1), '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), j AS (
+  SELECT page_id, host, path, {_rules_sql(1)} AS rule, {_rules_sql(0)} AS by_rule FROM p
+), l AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS url FROM p
+), e AS (
+  SELECT src, dst, count(*) AS n FROM (SELECT src, {_host_sql("url")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), b AS (
+  SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e
+), moves AS (
+  SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM b
+), ruled AS (
+  SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY 1, 2
+), seeds AS (
+  SELECT kind, host, n / (SELECT sum(n) FROM ruled) AS seed FROM ruled
+), s0 AS (SELECT kind, host, seed AS score FROM seeds), {_ROUNDS_SQL}, t AS (
+  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM s16 GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN distrust > 0.75::DOUBLE * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(trust, 9) AS trust, round(distrust, 9) AS distrust
+FROM j LEFT JOIN t USING (host)
+"""
 
 
 @query
