@@ -9,16 +9,17 @@ bounded; a Python worker keeps it from task to task.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Chunks that a task keeps.
-KEPT = 400_000
+KEPT = 500_000
 #: Chunks after which the texts read so far are encoded.
 GROUP = 200_000
 
@@ -58,7 +59,7 @@ class ChunkEncoder:
         if len(self.places) > self.kept:
             self._drop()
         get = self.places.get
-        at = np.array([get(c, -1) for c in chunks], np.int64)
+        at = np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks))
         out = np.flatnonzero(at < 0).tolist()
         if out:
             missing = [chunks[k] for k in out]
@@ -123,10 +124,11 @@ def word_encoder(path: str) -> ChunkEncoder:
 
     tokenize = model.model.tokenize
 
-    @lru_cache(maxsize=50_000)
-    def piece(word: str) -> list[int]:
-        return [t.id for t in tokenize(word.encode("utf-8").decode("latin-1").translate(_LETTERS))]
+    def merged(word: str) -> list[int]:
+        return [t.id for t in tokenize(word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_LETTERS))]
 
+    piece = lru_cache(maxsize=50_000)(lambda stops: merged(stops) if stops else [])
+    has_special = re.compile("|".join(map(re.escape, strings))).search if strings else None
     plain = _drops_blanks(model) and not any(s.isalpha() for s in strings)
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +136,16 @@ def word_encoder(path: str) -> ChunkEncoder:
         found: list[list[int] | None] = [None] * len(texts)
         if plain:  # a Latin word with stops around it is just its parts, which go to the merges without more ado
             for k, text in enumerate(texts):
+                if text.isascii() and text.isalpha() and text.islower():
+                    found[k] = [t.id for t in tokenize(text)]
+                    continue
                 body = text.strip(_STOPS)
-                if body.isalpha() and max(body) < "\u0250" and body.lower() == body:
-                    at = text.index(body)
-                    head, tail = text[:at], text[at + len(body) :]
-                    if (head or tail) and any(s in text for s in strings):
-                        continue
-                    found[k] = [*(piece(head) if head else ()), *[t.id for t in tokenize(body.encode("utf-8").decode("latin-1").translate(_LETTERS))], *(piece(tail) if tail else ())]
+                if body.isalpha() and body.islower() and max(body) < "\u0250":
+                    if len(body) == len(text):
+                        found[k] = merged(body)
+                    elif not (has_special and has_special(text)):
+                        at = text.index(body)
+                        found[k] = [*piece(text[:at]), *merged(body), *piece(text[at + len(body) :])]
         rest = [k for k, x in enumerate(found) if x is None]
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
