@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,22 @@ SECRET_RULES: tuple[tuple[str, str], ...] = (
     (r"(?i)\b(postgres|postgresql|mysql|redis|mongodb|amqp|mssql)://([^:\s]+):([^@\s]+)@", "$1://$2:[REDACTED]@"),
     (r"""(?i)\b(password|passwd|secret|api_key|apikey|auth_token|client_secret)\s*[:=]\s*["']?([^\s"';,]{8,})["']?""", "$1=[REDACTED_SECRET]"),
 )
+#: Of each rule, strings of which any text that it matches holds one; those of rules that ignore case are small.
+NEEDED: tuple[tuple[str, ...], ...] = (
+    ("PRIVATE KEY",),
+    ("eyJ",),
+    ("AKIA", "ABIA", "ACCA", "ASIA"),
+    ("secret_access_key",),
+    ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    ("glpat-",),
+    ("sk-",),
+    ("sk-ant-",),
+    ("AIza",),
+    ("xox",),
+    ("bearer",),
+    ("://",),
+    ("password", "passwd", "secret", "api_key", "apikey", "auth_token"),
+)
 # What a dedup key leaves out, in order: ids, hex runs, dates, temporary paths, ports.
 VOLATILE: tuple[str, ...] = (
     r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
@@ -37,16 +54,20 @@ SIGNATURE = r"(?i)\b(E\d{4}|TS\d{4,5}|CS\d{4}|ORA-\d{5}|SQLSTATE\s+[0-9A-Z]{5}|(
 def redact(text: Column) -> Column:
     """A struct of the clean text and how often rules matched; each rule sees what those before it left."""
     state = F.array(F.struct(text.alias("clean"), F.lit(0).alias("n")))
-    for pattern, marker in SECRET_RULES:
+    for (pattern, marker), needed in zip(SECRET_RULES, NEEDED, strict=True):
         # a transform over one element evaluates the state once, however often it is used
-        state = F.transform(state, _rule(pattern, marker))
+        state = F.transform(state, _rule(pattern, marker, needed))
     return F.element_at(state, 1)
 
 
-def _rule(pattern: str, marker: str) -> Callable[[Column], Column]:
+def _rule(pattern: str, marker: str, needed: tuple[str, ...]) -> Callable[[Column], Column]:
+    """A rule on a (clean, n) struct; a plain search for what it needs spares most texts the pattern."""
+
     def apply(s: Column) -> Column:
-        n = s["n"] + F.regexp_count(s["clean"], F.lit(pattern))
-        return F.struct(F.regexp_replace(s["clean"], pattern, marker).alias("clean"), n.alias("n"))
+        text = F.lower(s["clean"]) if pattern.startswith("(?i)") else s["clean"]
+        may = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in needed])
+        changed = F.struct(F.regexp_replace(s["clean"], pattern, marker).alias("clean"), (s["n"] + F.regexp_count(s["clean"], F.lit(pattern))).alias("n"))
+        return F.when(may, changed).otherwise(s)
 
     return apply
 
