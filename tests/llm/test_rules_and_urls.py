@@ -111,6 +111,18 @@ def test_spread_and_threshold(spark):
     assert got[4]["verdict"] == "allow" and got[6]["verdict"] == "allow" and got[6]["trust"] is None
 
 
+def test_spread_goes_on_until_it_settles(spark):
+    link = lambda h: f'<a href="http://{h}/x">y</a>'
+    pages = [(0, "http://bad.com/de/a", None)] + [(k, f"http://h{k}.net/", link(f"h{k - 1}.net" if k > 1 else "bad.com")) for k in range(1, 21)]
+    got = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(1, 21):
+        assert got[k]["verdict"] == "block" and abs(got[k]["distrust"] / (0.15 * 0.85**k) - 1) < 1e-9
+    ring = spark.createDataFrame([("trust", "a", "b", 1.0), ("trust", "b", "a", 1.0)], "kind string, src string, dst string, w double")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double")
+    scores = {r["host"]: r["score"] for r in url_filters.spread(ring, seeds, damping=0.3, rounds=2).collect()}
+    assert abs(scores["a"] - 0.7 / 0.91) < 1e-8 and abs(scores["b"] - 0.21 / 0.91) < 1e-8
+
+
 def test_no_python_on_the_native_paths(spark):
     for df in (queries.op1_quality_rules(spark, SMALL), queries.op2_url_filters(spark, SMALL)):
         plan = df._jdf.queryExecution().toString()

@@ -55,22 +55,38 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 16, cut_every: int = 4) -> DataFrame:
+#: Rounds go on until no score changes in a round by more than this share of it.
+TOLERANCE = 1e-9
+
+
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 16, cut_every: int = 4, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of several kinds at once: (kind, host, score).
 
     edges: (kind, src, dst, w), w summing to one over a src; seeds: (kind, host, seed). A round keeps 1 - damping
     of the seeds and moves damping of every score along its host's edges; what reaches a host without edges ends
-    there. After `rounds` the scores lack less than damping**rounds of the seeds' total.
+    there. From the round numbered `rounds`, each is compared with the one before, and they end when no score has
+    changed by more than the tolerance, as a share of the score; a host that is reached for the first time has changed
+    by all of it. So far hosts, whose scores are small, are as exact as near ones, and no host that links lead to is missed.
     """
     kept = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     state = seeds.select("kind", "host", F.col("seed").alias("score"))
     moves = edges.withColumnRenamed("src", "host")
-    for k in range(rounds):
+    if moves.isEmpty():
+        return kept  # what every round gives
+    k = 0
+    while True:
+        before = state
         moved = state.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
         state = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (k + 1) % cut_every == 0:
-            state = written(state, "host-scores")
-    return state
+        k += 1
+        if k % cut_every and k != rounds - 1 and k < rounds:
+            continue
+        state = written(state, "host-scores")
+        if k >= rounds:
+            both = state.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host")
+            change = both.agg(F.try_divide(F.abs(F.sum("score")), F.max("score")).alias("change")).agg(F.max("change")).first()[0]
+            if (change or 0.0) <= tolerance:
+                return state
 
 
 def judge(
