@@ -138,15 +138,30 @@ def test_classifier_edges(spark):
 
 
 def brute_nearest(rows, asks, k):
+    """Lists of (id, score), nearest first, of every row that asks, by its id."""
     usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     out = {}
-    for i, v in usable:
+    for n, (i, v) in enumerate(usable):
         if asks(i):
-            s = [(-float(sum(a * b for a, b in zip(v, w, strict=True))), j) for j, w in usable if j != i and len(w) == len(v)]
-            out[i] = [(j, -x) for x, j in sorted(s)[:k]]
+            s = []
+            for m, (j, w) in enumerate(usable):
+                if m != n and len(w) == len(v):
+                    score = 0.0
+                    for a, b in zip(v.tolist(), w.tolist(), strict=True):
+                        score += a * b
+                    s.append((math.inf if score != score else -score, j, score))
+            out.setdefault(i, []).append([(j, x) for _, j, x in sorted(s, key=lambda e: e[:2])[:k]])
     return out
 
 
+def found_nearest(df, asks, k):
+    """The same of nearest(); rows of one id are told apart by their order of ranks."""
+    lists = {}
+    for r in nearest.nearest(df, asks, k).collect():
+        lists.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["vec_id"], r["score"]))
+    return lists
+
+
 @pytest.mark.parametrize(("q_block", "block"), [(8192, 16384), (4, 16)])
 def test_nearest(spark, monkeypatch, q_block, block):
     monkeypatch.setattr(nearest, "QUERY_BLOCK", q_block)
@@ -160,10 +175,28 @@ def test_nearest(spark, monkeypatch, q_block, block):
     rows[33] = (33, rows[34][1])  # a tie
     rows[40] = (40, rows[50][1])
     rows += [(None, rows[1][1]), (200, [1.0, 2.0]), (210, [1.0, 3.0]), (205, [float("inf"), 1.0]), (220, [1e-30] * 8), (230, [1e15] * 8)]
+    rows += [(60, rows[61][1]), (60, rows[61][1]), (70, rows[3][1])]  # repeated ids
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    got = {}
-    for r in sorted(nearest.nearest(df, F.col("vec_id") % 10 == 0, 5).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-        assert r["rank"] == len(got[r["query_id"]])
-    assert got == brute_nearest(rows, lambda i: i % 10 == 0, 5)
+    want = brute_nearest(rows, lambda i: i % 10 == 0, 5)
+    got = found_nearest(df, F.col("vec_id") % 10 == 0, 5)
+    assert got.keys() == want.keys()
+    for i, lists in want.items():
+        for rank, found in got[i].items():
+            assert sorted(found) == sorted(x[rank - 1] for x in lists if len(x) >= rank)
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 10 == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nearest_of_any_magnitudes(spark, seed):
+    """Components from the least to the greatest double, in one vector and across them; nothing may be lost."""
+    rng = np.random.default_rng(seed)
+    rows = [(0, [1e200, 0.0]), (65, [0.0, 1e200]), (1, [1.0, 2.0]), (2, [3.0, 1.0])] if not seed else []
+    for i in range(3, 60):
+        power = rng.choice([-320, -300, -160, -1, 0, 1, 150, 200, 307], 2) if seed % 2 else np.full(2, rng.choice([-320, -160, 0, 160, 300]))
+        rows.append((i, [float(x * 10.0**p) for x, p in zip(rng.normal(size=2), power, strict=True)]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows, lambda i: i % 5 == 0, 7)
+    got = found_nearest(df, F.col("vec_id") % 5 == 0, 7)
+    assert got.keys() == want.keys()
+    for i, (found,) in want.items():
+        assert repr([got[i][r][0] for r in range(1, len(found) + 1)]) == repr(found) and len(got[i]) == len(found)
