@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenfold.llm.tokens import ChunkEncoder, le_bytes
+from wrenfold.llm.tokens import ChunkEncoder, gathered, le_bytes
 
 #: Bytes of the longest word whose ranks are scanned.
 SHORT = 48
@@ -207,8 +207,18 @@ class Codec:
                 heapq.heappush(heap, (s, left[i]))
         return [i for i in ids if i >= 0]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and where each id's start; ids beyond have none."""
+        sizes = np.zeros(max(self.bytes_of) + 2, np.int64)
+        sizes[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+        flat = b"".join([self.bytes_of.get(i, b"") for i in range(len(sizes))])
+        return np.frombuffer(flat, np.uint8), np.append(0, np.cumsum(sizes))
+
+    def decode(self, ids: np.ndarray) -> str:
+        flat, starts = self.table
+        at = np.minimum(np.asarray(ids, np.int64), len(starts) - 2)
+        return gathered(flat, starts[at], starts[at + 1] - starts[at])[0].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -219,16 +229,23 @@ def codec_of(path: str) -> Codec:
 _SPACE, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids), ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids), ids as little-endian unsigned 32-bit integers; decoded adds their text, from the same worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer)
         for batch in batches:
-            ids = [le_bytes(x) for x in codec.encoder.many(x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            doc_ids, at = batch.column(0), 0
+            for flat, ends in codec.encoder.flat(batch.column(1)):
+                parts = np.split(flat, ends[:-1])
+                columns = [doc_ids.slice(at, len(parts)), pa.array([le_bytes(x) for x in parts], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([codec.decode(x) for x in parts], pa.string()))
+                at += len(parts)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -237,7 +254,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer)
         for batch in batches:
-            texts = [codec.decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in batch.column(1)]
+            texts = [codec.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -19,7 +19,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -91,8 +90,9 @@ def pack(
         done: list[tuple] = []
 
         def rows(window: int, pieces: list, left: bool) -> None:
-            for (doc_id, ids), start, length, offset in pieces:
-                done.append((doc_id, start, length, le_bytes(ids[start : start + length]), len(ids), (task << 33) + 2 * window, offset, task, left))
+            sequence = (task << 33) + 2 * window
+            for (doc_id, raw), start, length, offset in pieces:
+                done.append((doc_id, start, length, raw[4 * start : 4 * (start + length)], len(raw) // 4, sequence, offset, task, left))
 
         def batch() -> pa.RecordBatch:
             columns = zip(*done, strict=True) if done else [()] * 9
@@ -102,11 +102,14 @@ def pack(
 
         packer = Packer(size, windows, lambda window, pieces: rows(window, pieces, False))
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode.many(x.as_py() for x in b.column(1)), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
-                packer.put((doc_id, ids), len(ids))
-                if len(done) >= 2000:
-                    yield batch()
+            doc_ids = iter(b.column(0).to_pylist())
+            for ids, ends in encode.flat(b.column(1), end_id):
+                start = 0
+                for end in ends.tolist():
+                    packer.put((next(doc_ids), le_bytes(ids[start:end])), end - start)
+                    start = end
+                    if len(done) >= 2000:
+                        yield batch()
         for window, pieces in packer.held.items():
             rows(window, pieces, True)
         yield batch()

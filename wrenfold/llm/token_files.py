@@ -26,13 +26,15 @@ import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenfold.llm.tokens import le_bytes, word_encoder
 
 #: Plain bytes after which a frame ends.
 FRAME_BYTES = 1 << 20
+#: Input that goes into a file, about.
+FILE_BYTES = 1 << 29
 #: Of the public format: skippable frames' numbers, and the seek table's.
 SKIP_DOCS, SKIP_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _DOC = struct.Struct("<qQQB")  # id, first token in the file, tokens, whether the id is null
@@ -125,6 +127,20 @@ class FileReader:
         return np.frombuffer(b"".join(parts), "<u4")
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI on the file system that Spark takes it to be on, as every executor must."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _plan_bytes(docs: DataFrame) -> int:
+    """The optimizer's estimate of the input's size, from files' sizes where it is a scan; 0 where it knows none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def write(
     docs: DataFrame,
     folder: str,
@@ -136,26 +152,32 @@ def write(
 ) -> DataFrame:
     """Writes the files and returns, as a written-out table in memory of one row a file, (file, path, docs, tokens).
 
-    folder is a URI, or a path that all executors share; files, if given, bounds their number.
+    folder is a URI or a path of Spark's default file system. There are as many files as shuffle partitions, or as
+    the plan's estimated size needs at FILE_BYTES of input each; files, if given, is their number.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = _qualified(spark, folder)
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _plan_bytes(docs) // FILE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         encode, writer = None, None
-        store, base = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+        store, base = pa.fs.FileSystem.from_uri(folder)
         n = 0
         for b in batches:
             encode = encode or word_encoder(tokenizer)
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode.many(x.as_py() for x in b.column(1)), strict=True):
-                if writer is None:
-                    store.create_dir(base, recursive=True)
-                    draft = f"{base}/.draft-{context.partitionId()}-{context.taskAttemptId()}"
-                    stream = store.open_output_stream(draft)
-                    writer = FileWriter(stream)
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)).astype(np.uint32))
-                n += 1
+            if writer is None and b.num_rows:
+                store.create_dir(base, recursive=True)
+                draft = f"{base}/.draft-{context.partitionId()}-{context.taskAttemptId()}"
+                stream = store.open_output_stream(draft)
+                writer = FileWriter(stream)
+            doc_ids = iter(b.column(0).to_pylist())
+            for ids, ends in encode.flat(b.column(1), end_id):
+                start = 0
+                for end in ends.tolist():
+                    writer.add(next(doc_ids), ids[start:end])
+                    start = end
+                    n += 1
         if writer is not None:
             writer.close()
             stream.close()
@@ -189,7 +211,7 @@ def read(listing: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store, base = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+                store, base = pa.fs.FileSystem.from_uri(path)
                 with store.open_input_file(base) as stream:
                     reader = FileReader(stream, stream.size())
                     rows, held = [], 0
