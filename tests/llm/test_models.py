@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from wrenfold.llm import language_id, lm, nearest, quality_classifier, queries
@@ -79,24 +80,91 @@ def test_lm_counts_and_gain(spark, scored):
 
 
 def test_lm_is_a_distribution(spark, monkeypatch):
-    """Over the words of a tiny vocabulary, and unseen ones, probabilities after each word sum to one."""
+    """Over the words of a tiny vocabulary, and unseen ones, probabilities after each context sum to one."""
     monkeypatch.setattr(lm, "HEAD", 3)
     monkeypatch.setattr(lm, "WORDS", 2)
     docs = spark.createDataFrame([(i, "a b a c d e a b") for i in range(5)], "doc_id long, text string")
     model, counts = lm.train(docs)
-    table = 10.0 ** model.class_table()
-    assert np.abs(table.sum(axis=1) - 1).max() < 1e-5
+    model.ready()
+    n = model.classes
+    contexts = np.array([(0, 0), (0, 1), (1, 2), (2, 1), (5, n - 1)])
+    p = lambda far, near, t: 10.0 ** float(model.log_probabilities(np.array([far]), np.array([near]), np.array([t]))[0])
+    for far, near in contexts:
+        assert abs(sum(10.0 ** model.log_probabilities(np.full(n, far), np.full(n, near), np.arange(n))) - 1) < 1e-5
     of_bucket = model.bucket_counts
     assert of_bucket[:, 0].sum() == 5 * 3 and of_bucket[:, 1].sum() == 3  # c, d, e
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame([(0, ""), (1, "c"), (2, "a"), (3, "zz")], "doc_id long, text string"), model, counts).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame([(0, ""), (1, "c"), (2, "a"), (3, "zz"), (4, "a c b")], "doc_id long, text string"), model, counts).collect()}
     places, of = model.lookup()
-    end = table[0, 0]
-    assert abs(got[0] - math.log10(end)) < 1e-5
+    a, b = of[places["a"]], of[places["b"]]
     k = 1 + model.n_words + lm.bucket(b"c")
-    n, v = of_bucket[lm.bucket(b"c")]
-    assert abs(got[1] - math.log10(table[0, k] * (5 + 0.1) / (n + 0.1 * (v + 1)) * table[k, 0])) < 1e-5
-    a = of[places[b"a"]]
-    assert abs(got[2] - math.log10(table[0, a] * table[a, 0])) < 1e-5
+    total, v = of_bucket[lm.bucket(b"c")]
+    share = (5 + 0.1) / (total + 0.1 * (v + 1))
+    want = {0: p(0, 0, 0), 1: p(0, 0, k) * share * p(0, k, 0), 2: p(0, 0, a) * p(0, a, 0), 4: p(0, 0, a) * p(0, a, k) * share * p(a, k, b) * p(k, b, 0)}
+    for i, x in want.items():
+        assert abs(got[i] - math.log10(x)) < 1e-5
+
+
+@pytest.mark.parametrize("head", [50, 3])
+def test_lm_of_many_equal_counts(spark, monkeypatch, head):
+    """More words of one count than the head takes: the first in order have classes, and counts stay exact."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "WORDS", 20)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k:03d}" for k in range(200))) for i in range(3)], "doc_id long, text string")
+    model, counts = lm.train(docs)
+    assert [w for w, _ in model.head] == [f"w{k:03d}" for k in range(head)] and model.n_words == min(20, head)
+    r = lm.score(docs, model, counts).first()
+    assert r["n_known"] == 201 and abs(r["base_score"] - 201 * math.log10(3.1 / (603 + 0.1 * 202))) < 1e-9
+
+
+def test_lm_query_by_brute_force(spark):
+    """The query's scores from the model's weights, token by token, on the smallest tables."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model, counts = lm.train(docs.where(~language_id.in_fold("doc_id", 10)))
+    c = dict((r["word"], r["n"]) for r in counts.collect())
+    w = model.weights
+    places, of = model.lookup()
+    got = {r["doc_id"]: r["score"] for r in queries.op7_lm_scoring(spark, SMALL).collect()}
+    for d in docs.orderBy("doc_id").collect()[:40]:
+        words = [x.decode() for x in lm.words_of(d["text"])]
+        classes = [of[places[x]] if x in places else 1 + model.n_words + lm.bucket(x.encode()) for x in words] + [0]
+        total, near, far = 0.0, 0, 0
+        for x, t in zip([*words, ""], classes, strict=True):
+            logits = (w["r"][near] @ w["near"] + w["r"][far] @ w["far"]) @ w["s"].T + w["b"]
+            total += (logits[t] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if t > model.n_words:
+                n, v = model.bucket_counts[t - 1 - model.n_words]
+                total += math.log10((c.get(x, 0) + 0.1) / (n + 0.1 * (v + 1)))
+            far, near = near, t
+        assert abs(got[d["doc_id"]] - total) < 1e-4 * abs(total)
+
+
+def test_lm_gains_on_a_class_bigram(spark, scored):
+    """Held-out gain over the smoothed bigram of the same classes, weighed with the class unigram."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    model, counts = lm.train(spark.read.parquet(f"{LARGER}/documents.parquet").where(~language_id.in_fold("doc_id", 10)))
+    c = dict((r["word"], r["n"]) for r in counts.collect())
+    places, of = model.lookup()
+    cls = lambda x: of[places[x]] if x in places else 1 + model.n_words + lm.bucket(x.encode())
+    n = model.classes
+    pairs = np.zeros((n, n))
+    rows = {i: [cls(x.decode()) for x in lm.words_of(t)] + [0] for i, t in docs.items()}
+    for i, row in rows.items():
+        if crc(i, 10):
+            np.add.at(pairs, ([0, *row[:-1]], row), 1)
+    unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * n)
+    pairs = np.log10((pairs + 20 * unigram) / (pairs.sum(axis=1, keepdims=True) + 20))
+    held = [r for r in scored if r["held_out"]]
+    bigram = 0.0
+    for r in held:
+        row, words = rows[r["doc_id"]], [x.decode() for x in lm.words_of(docs[r["doc_id"]])]
+        bigram += pairs[[0, *row[:-1]], row].sum()
+        for x, t in zip(words, row, strict=False):
+            if t > model.n_words:
+                m, v = model.bucket_counts[t - 1 - model.n_words]
+                bigram += math.log10((c.get(x, 0) + 0.1) / (m + 0.1 * (v + 1)))
+    tokens = sum(r["n_tokens"] for r in held)
+    print("log10 a token: model", sum(r["score"] for r in held) / tokens, "bigram", bigram / tokens, "base", sum(r["base_score"] for r in held) / tokens)
+    assert sum(r["score"] for r in held) > bigram
 
 
 def test_lm_edges(spark):
