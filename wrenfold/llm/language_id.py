@@ -6,8 +6,8 @@ lexicon). The weights of its features give a score for each language, and learne
 words; forward-backward gives each word's posterior. A document's language is that with the most expected words,
 its score the share of these.
 
-Training takes at most `per_language` documents of each language, those with the least hash of their ids, so the
-sample has a bound and does not depend on the order of rows. As documents have one label each, runs of words of
+Training takes at most `per_language` documents of each language, those with the least hash of their ids and texts, so
+the sample has a bound and does not depend on the order of rows. As documents have one label each, runs of words of
 different languages are joined into code-switched sequences; from these the transitions are learned. The weights
 are fitted on the driver with numpy and go to the tasks as one array of fixed size.
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wrenfold.llm.common import least_hashes, written
+from wrenfold.llm.tokens import groups
 
 #: Rows of the weight table: features are hashed to these.
 BUCKETS = 1 << 17
@@ -183,19 +184,37 @@ def in_fold(id_col: str, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """(text, lang), at most per_language rows a language: those of the least hash of id, then text."""
+    """(text, lang), at most per_language rows a language: those of the least hash of id and text, then of the text.
+
+    Rows are narrowed by their hash in the scanning tasks. Of a language for which fewer than are wanted pass, as
+    where thousands of rows repeat one, all rows go to the exact choice.
+    """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "language-sizes")
-    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
-    rows = rows.join(sizes, "lang").where(least_hashes(F.col("h"), per_language, F.col("total"))).drop("total")
     order = Window.partitionBy("lang").orderBy("h", "text")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("text", "lang")
 
+    def least(few: DataFrame) -> DataFrame:
+        return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("text", "lang")
+
+    def joined(some: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some) if some.count() <= 10_000 else some, "lang")
+
+    found = written(least(joined(sizes).where(least_hashes(F.col("h"), per_language, F.col("total")))), "language-sample")
+    got = found.groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
+    short = written(sizes.join(got, "lang", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.col("total"), F.lit(per_language))).select("lang"), "short-languages")
+    if short.isEmpty():
+        return found
+    return found.join(short, "lang", "left_anti").select("text", "lang").unionByName(least(joined(short)))
 
-def train(docs: DataFrame, per_language: int = 400, **columns: str) -> Model:
-    """Fits the model to the bounded sample of training_rows(); docs holds no row that must not be learned from."""
-    sample = training_rows(docs, per_language, **columns).collect()
+
+def train(docs: DataFrame, per_language: int = 400, most_rows: int = 100_000, **columns: str) -> Model:
+    """Fits the model to the bounded sample of training_rows(); docs holds no row that must not be learned from.
+
+    The sample has most_rows rows at most: with more languages than most_rows / per_language, fewer of each.
+    """
+    languages = docs.where(F.col(columns.get("lang_col", "lang")).isNotNull()).agg(F.countDistinct(columns.get("lang_col", "lang"))).first()[0] if per_language > 1 else 1
+    sample = training_rows(docs, max(1, min(per_language, most_rows // max(1, languages))), **columns).collect()
     sample.sort(key=lambda r: (r["lang"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
@@ -211,9 +230,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
         languages, weights, moves = shared.value
         m = Model(languages, weights, moves)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_predict(m, batch.column(1).to_pylist())], ["doc_id", "lang_pred", "score", "switches"])
+            at = 0
+            for part in groups(batch.column(1)):  # texts of a few MB advance together
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *_predict(m, part.to_pylist())], ["doc_id", "lang_pred", "score", "switches"])
+                at += len(part)
 
-    # a task's batch advances as one, so it is kept to a few MB of text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = StructType.fromDDL("lang_pred string, score double, switches long")
     return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *found.fields]))

@@ -8,7 +8,7 @@ method of moments, so sparse sites move little. The score adds, in log-odds, `we
 path lies from the global mean, with the document's own part of its path's sum left out.
 
 The regression is fitted on the driver to at most `most` labelled rows, those of the least hash of their ids; all
-means cover all documents. A group is summed in part before the shuffle, and as many rows as groups are shuffled.
+means cover all documents; of several texts of one id it takes the least. A group is summed in part before the shuffle, and as many rows as groups are shuffled.
 
 Defined cases: a null text is empty, a null host or path a group of its own; a document whose label is null trains
 nothing; without both labels the evidence is 0.5 for all; equal scores stay equal; repeated rows count each; an
@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, text_col: str =
     h = F.xxhash64(id_col)
     chosen = known.where(least_hashes(h, most, F.lit(known.count()))).orderBy(h, id_col).limit(most)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
-    sample = rows.select("text", "y", id_col).dropDuplicates([id_col]).collect()  # `most` rows at most
+    # of several texts of one id the least, so that the model does not depend on the order of rows
+    sample = rows.groupBy(id_col).agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()  # `most` rows at most
     sample.sort(key=lambda r: r[id_col])
     return fit([r["text"] for r in sample], [int(r["y"] > 0) for r in sample])
 

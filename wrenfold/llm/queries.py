@@ -105,7 +105,7 @@ WITH p AS (
 ), l AS (
   SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS url FROM p
 ), e AS (
-  SELECT src, dst, count(*) AS n FROM (SELECT src, {_host_sql("url")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+  SELECT src, dst, count(*) AS n FROM (SELECT src, {_host_sql("CASE WHEN starts_with(url, '//') THEN ':' || url ELSE url END")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 ), b AS (
   SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e
 ), moves AS (
@@ -113,9 +113,9 @@ WITH p AS (
 ), ruled AS (
   SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY 1, 2
 ), seeds AS (
-  SELECT kind, host, n / (SELECT sum(n) FROM ruled) AS seed FROM ruled
+  SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM ruled
 ), s0 AS (SELECT kind, host, seed AS score FROM seeds), {_ROUNDS_SQL}, t AS (
-  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM s16 GROUP BY host
+  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM s16) GROUP BY host
 )
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN distrust > 0.75::DOUBLE * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
   round(trust, 9) AS trust, round(distrust, 9) AS distrust

@@ -3,7 +3,8 @@
 Rules judge a url by its host (or a parent domain) and the start of its path; of the rules that fit, the longest
 wins. Urls that no rule fits get the verdict of their host. For it, two scores spread over the host graph:
 personalised PageRank from the hosts whose urls rules allow, along links, and from the hosts whose urls rules
-block, against links (who links to the blocked is distrusted). A seed counts by its number of ruled urls; a host
+block, against links (who links to the blocked is distrusted). A seed counts by its share of the ruled urls of its
+kind, so each kind has a mass of one, which hosts without links give back to its seeds; a host
 whose share of distrust, distrust / (trust + distrust), exceeds the threshold is blocked.
 
 Defined cases: a url that is null or has no `://` has empty host and path, which no rule fits, and is allowed; a
@@ -48,45 +49,44 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Distinct links between hosts, (src, dst, n): absolute links of a page lead from its host."""
-    links = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1))
+    """Distinct links between hosts, (src, dst, n): links of a page with a host lead from its own; `//` may lack a scheme."""
+    links = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))
     pairs = pages.select(host_and_path(F.col(url_col))[0].alias("src"), F.explode(links).alias("to"))
-    pairs = pairs.select("src", host_and_path(F.col("to"))[0].alias("dst"))
+    pairs = pairs.select("src", host_and_path(F.concat(F.when(F.startswith("to", F.lit("//")), ":").otherwise(""), "to"))[0].alias("dst"))
     return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Rounds go on until no score changes in a round by more than this share of it.
-TOLERANCE = 1e-9
+#: Rounds go on until no score changes between two writings by more than this share of it.
+TOLERANCE = 1e-6
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 16, cut_every: int = 4, tolerance: float = TOLERANCE) -> DataFrame:
-    """Personalised PageRank of several kinds at once: (kind, host, score).
+    """Personalised PageRank of several kinds at once: (kind, host, score), the scores of a kind summing to one.
 
-    edges: (kind, src, dst, w), w summing to one over a src; seeds: (kind, host, seed). A round keeps 1 - damping
-    of the seeds and moves damping of every score along its host's edges; what reaches a host without edges ends
-    there. From the round numbered `rounds`, each is compared with the one before, and they end when no score has
+    edges: (kind, src, dst, w), w summing to one over a src; seeds: (kind, host, seed), seed summing to one over a
+    kind. A round keeps 1 - damping of the seeds and moves damping of every score along its host's edges. What lies
+    at hosts without edges goes back to the seeds, by their shares: as they are what every round starts from, that
+    is the same as making the scores of a kind sum to one in the end. After every `cut_every` rounds the scores are
+    written, and from `rounds` on they are compared with those written before; the rounds end when no score has
     changed by more than the tolerance, as a share of the score; a host that is reached for the first time has changed
     by all of it. So far hosts, whose scores are small, are as exact as near ones, and no host that links lead to is missed.
     """
-    kept = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    state = seeds.select("kind", "host", F.col("seed").alias("score"))
+    kept = written(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score")), "seed-shares")
+    state = kept
     moves = edges.withColumnRenamed("src", "host")
-    if moves.isEmpty():
-        return kept  # what every round gives
-    k = 0
-    while True:
+    k, change = 0, 0.0 if moves.isEmpty() else None  # without links every round gives the same
+    while change is None or change > tolerance:
         before = state
-        moved = state.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
-        state = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        k += 1
-        if k % cut_every and k != rounds - 1 and k < rounds:
-            continue
+        for _ in range(cut_every):
+            moved = state.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
+            state = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         state = written(state, "host-scores")
+        k += cut_every
         if k >= rounds:
             both = state.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host")
-            change = both.agg(F.try_divide(F.abs(F.sum("score")), F.max("score")).alias("change")).agg(F.max("change")).first()[0]
-            if (change or 0.0) <= tolerance:
-                return state
+            change = both.agg(F.try_divide(F.abs(F.sum("score")), F.max("score")).alias("change")).agg(F.max("change")).first()[0] or 0.0
+    totals = state.groupBy("kind").agg(F.sum("score").alias("total"))  # a row a kind
+    return state.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
 
 
 def judge(
@@ -113,8 +113,8 @@ def judge(
     ruled = written(judged.where("by_rule is not null").groupBy(
         F.when(F.col("by_rule.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host"
     ).agg(F.count(F.lit(1)).alias("n")), "host-seeds")
-    total = ruled.agg(F.sum("n")).first()[0] or 1
-    seeds = ruled.select("kind", "host", (F.col("n") / total).alias("seed"))
+    totals = ruled.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows
+    seeds = ruled.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
 
     scores = spread(both, seeds, damping, rounds).groupBy("host").agg(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
