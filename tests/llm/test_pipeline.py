@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from wrenfold.llm import quality_rules, simhash
+from test_jaccard import brute_kept
+from wrenfold.llm import quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,23 +26,11 @@ def test_stages(spark):
     assert len(rows) - len(ids) <= 1  # all are prose in a learned language
     one = corpus_pipeline.near_duplicates(spark, named, SMALL)
     assert one.columns == COLUMNS
-    keys = {d: simhash.fingerprint(rows[d]["text"]) % 2**64 for d in ids}
-    root = {d: d for d in ids}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a in ids:
-        for b in ids:
-            if a < b and (keys[a] ^ keys[b]).bit_count() <= corpus_pipeline.BITS:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert {r["doc_id"] for r in one.collect()} == {d for d in ids if find(d) == d}
+    order = sorted(ids)
+    left = {order[k] for k in brute_kept([rows[d]["text"] for d in order])}
+    assert {r["doc_id"] for r in one.collect()} == left
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     packed = corpus_pipeline.run(spark, SMALL).collect()
-    left = {d for d in ids if find(d) == d}
     assert {p["doc_id"] for p in packed} == left
     total = sum(len(model.encode(rows[d]["text"], add_special_tokens=False).ids) + 1 for d in left)
     assert sum(p["length"] for p in packed) == total

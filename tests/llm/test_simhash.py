@@ -50,7 +50,7 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) % 2**64 == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("limit", [0, 1, 3, 5])
+@pytest.mark.parametrize("limit", range(8))
 def test_links_and_components(spark, monkeypatch, limit):
     keys = planted(limit)
     want = brute_groups(keys, limit)
@@ -66,6 +66,15 @@ def test_links_and_components(spark, monkeypatch, limit):
         assert got == expected
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 5, 7, 9])
+def test_a_part_stays_within_its_budget(limit):
+    n, width, first = simhash.parts(limit)
+    rng = np.random.default_rng(limit)
+    for _ in range(2000):
+        bits = rng.choice(64, limit, replace=False)
+        assert min(np.sum((bits >= width * k) & (bits < width * (k + 1))) for k in range(n)) <= first
+
+
 def test_query_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     keys = np.array([brute_fingerprint(d["text"]) for d in docs], np.uint64)

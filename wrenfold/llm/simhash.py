@@ -3,9 +3,9 @@
 A fingerprint is made from the XXH64 of a text's word shingles, repeats included. Distinct fingerprints (copies
 of a text share one) form a binary trie. The join walks pairs of nodes of equal depth together, starting at the
 root with itself; each step takes both to their children, adds a bit where these differ, and drops a pair that
-exceeds the error budget. Of two words of `limit` differing bits or fewer, one half has limit // 2 of them at
-most; so the trie is walked twice, once from either half first, with limit // 2 as the budget of the first half
-and limit as that of the whole. Both walks together lose no link and stay near the diagonal.
+exceeds the error budget. The 64 bits are cut into limit // 2 + 1 parts; of two words of `limit` differing bits or
+fewer, one part has one of them at most (parts()). So the trie is walked once from each part first, with that as the
+budget of the part and limit as that of the whole. The walks together lose no link and stay near the diagonal.
 
 On Spark, the first levels of the walk are the shuffle: every fingerprint goes to the node pairs that its prefix
 belongs to within the first budget. Their number follows from the count of fingerprints, so that a node holds
@@ -21,6 +21,7 @@ a component's name, which is null if no row of the component has an id; an empty
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,11 +91,17 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> None:
             root[:] = up
 
 
-def walk(left: np.ndarray, right: np.ndarray | None, budgets: tuple[int, int], depth: int, root: np.ndarray) -> None:
+def parts(limit: int) -> tuple[int, int, int]:
+    """How many walks there are, the levels of the part that each begins with, and that part's budget."""
+    n = limit // 2 + 1
+    return n, 64 // n, limit // n
+
+
+def walk(left: np.ndarray, right: np.ndarray | None, budgets: tuple[int, int], depth: int, root: np.ndarray, width: int = 32) -> None:
     """Walks the tries of two sorted arrays of distinct keys (right None: left with itself) and merges links in root.
 
-    Keys are unsigned, ordered from their first trie level. budgets: differing bits over the first 32 levels, and
-    over all. root covers left, then right. A node is a range of keys; a pair of nodes that hold one key each is
+    Keys are unsigned, ordered from their first trie level. budgets: differing bits over the first `width`
+    levels, and over all. root covers left, then right. A node is a range of keys; a pair of nodes that hold one key each is
     compared at once.
     """
     keys = left if right is None else np.concatenate([left, right])
@@ -120,7 +127,7 @@ def walk(left: np.ndarray, right: np.ndarray | None, budgets: tuple[int, int], d
             k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             i, j = s[at, 0] + k // nb[at], s[at, 2] + k % nb[at]
             x = keys[i] ^ keys[j]
-            near = (i != j) & (np.bitwise_count(x) <= total) & (np.bitwise_count(x >> np.uint64(32)) <= first)
+            near = (i != j) & (np.bitwise_count(x) <= total) & (np.bitwise_count(x >> np.uint64(64 - width) if width < 64 else x) <= first)
             _forest(len(keys), i[near], j[near], root)
             nodes = nodes[~small]
             if not len(nodes):
@@ -138,7 +145,7 @@ def walk(left: np.ndarray, right: np.ndarray | None, budgets: tuple[int, int], d
         x = (keys[nxt[:, 0]] ^ keys[nxt[:, 2]]) >> np.uint64(63 - level)  # the bits of the path so far
         shown = level + 1
         ok = np.bitwise_count(x) <= total
-        ok &= np.bitwise_count(x >> np.uint64(max(0, shown - 32))) <= first
+        ok &= np.bitwise_count(x >> np.uint64(max(0, shown - width))) <= first
         stack.append((nxt[ok], level + 1))
 
 
@@ -155,19 +162,22 @@ def _part(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> n
         lo = np.where(open_ & ~set_, mid + 1, lo)
 
 
-def _node_rows(reps: DataFrame, depth: int, turn: bool, heavy: DataFrame, limit: int) -> DataFrame:
+def _rotated(fp: Column, left: int) -> Column:
+    return F.shiftleft(fp, left).bitwiseOR(F.shiftrightunsigned(fp, 64 - left)) if left else fp
+
+
+def _node_rows(reps: DataFrame, depth: int, turn: int, heavy: DataFrame, limit: int) -> DataFrame:
     """A row for each pair of nodes, and pair of chunks, that a fingerprint belongs to: (p, q, cp, cq, right, key)."""
-    key = F.col("fp")
-    if turn:  # the low half first
-        key = F.shiftleft(key, 32).bitwiseOR(F.shiftrightunsigned(key, 32))
-    rows = reps.select(key.alias("key")).withColumn("node", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long"))
+    rows = reps.select(_rotated(F.col("fp"), turn).alias("key")).withColumn("node", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long"))
     masks = [0]
-    for _ in range(limit // 2):
+    for _ in range(parts(limit)[2]):
         masks = sorted({m ^ (1 << i) for m in masks for i in range(depth)} | set(masks))
     rows = rows.select("key", "node", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
     rows = rows.withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
     n = lambda node: heavy.select(F.col("node").alias(node), F.col("chunks").alias(f"{node}_chunks"))
-    rows = rows.join(F.broadcast(n("node")), "node", "left").join(F.broadcast(n("other")), "other", "left")
+    # few nodes of evenly spread fingerprints are heavy; where many are, the joins shuffle
+    few = F.broadcast if heavy.count() <= 100_000 else lambda x: x
+    rows = rows.join(few(n("node")), "node", "left").join(few(n("other")), "other", "left")
     mine, theirs = (F.coalesce(F.col(c), F.lit(1)) for c in ("node_chunks", "other_chunks"))
     rows = rows.select(
         "key", "node", "other", F.pmod(F.xxhash64("key"), mine).cast("int").alias("mine"),
@@ -183,7 +193,7 @@ def _node_rows(reps: DataFrame, depth: int, turn: bool, heavy: DataFrame, limit:
     )
 
 
-def _walker(depth: int, turn: bool, limit: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _walker(depth: int, turn: int, limit: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """What a task does with a pair of nodes, or of chunks of nodes: walk it, and return its forest."""
 
     def run(pair: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -197,11 +207,12 @@ def _walker(depth: int, turn: bool, limit: int) -> Callable[[tuple, pd.DataFrame
             left, right = np.unique(keys[~on_right]), np.unique(keys[on_right])
             both = np.concatenate([left, right])
         root = np.arange(len(both))
-        walk(left, right, (limit // 2, limit), depth, root)
+        _, width, first = parts(limit)
+        walk(left, right, (first, limit), depth, root, width)
         at = np.flatnonzero(root != np.arange(len(both)))
         x, y = both[at], both[root[at]]
         if turn:
-            x, y = ((v << np.uint64(32)) | (v >> np.uint64(32)) for v in (x, y))
+            x, y = ((v >> np.uint64(turn)) | (v << np.uint64(64 - turn)) for v in (x, y))
         x, y = x.view(np.int64), y.view(np.int64)
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -214,19 +225,19 @@ def links(reps: DataFrame, limit: int = 3) -> DataFrame:
     Each task returns a spanning forest of the links that it finds, as stars.
     """
     n = reps.count()
-    depth = int(max(0, min(18, np.ceil(np.log2(max(1, n) / NODE_ROWS)))))
+    walks, width, _ = parts(limit)
+    depth = int(max(0, min(width, np.ceil(np.log2(max(1, n) / NODE_ROWS)))))
     found = []
-    for turn in (False, True):  # the high half first, then the low half
-        key = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)) if turn else F.col("fp")
+    for turn in range(0, walks * width, width):  # each part in turn comes first
+        key = _rotated(F.col("fp"), turn)
         node = F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
-        # at most 2**18 nodes, so this table has a bound
-        heavy = reps.groupBy(node.alias("node")).count().select(
+        heavy = written(reps.groupBy(node.alias("node")).count().select(
             "node", F.ceil(F.col("count") / (CHUNK * NODE_ROWS)).cast("int").alias("chunks")
-        ).where("chunks > 1")
+        ).where("chunks > 1"), "heavy-nodes")
 
         rows = _node_rows(reps, depth, turn, heavy, limit)
         found.append(rows.groupBy("p", "q", "cp", "cq").applyInPandas(_walker(depth, turn, limit), "a long, b long"))
-    return found[0].unionByName(found[1]).distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
