@@ -1,7 +1,9 @@
 """Save, merge, history, rollback, delete, search and reopening of the store."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from wrenfold.functions.textops import has_all_tags
 from wrenfold.operators.store import KnowledgeStore, checked_root
 from wrenfold.streaming.upserts import SAVES, parsed, save_stream
 
@@ -95,7 +97,27 @@ def test_stream(spark, tmp_path):
     assert [r["title"] for r in store.current().collect()] == ["From a stream"]
 
 
-@pytest.mark.parametrize("bad", ["", " ", "/etc/kb", "/data/../x", "/home/a/.ssh/kb"])
+@pytest.mark.parametrize("bad", ["", " ", "/etc/kb", "/data/../x", "/home/a/.ssh/kb", "file:/etc/kb", "file://localhost/etc/kb", "file:///data/%2e%2e/x"])
 def test_folders(bad):
     with pytest.raises(ValueError):
         checked_root(bad)
+
+
+def test_one_entry_a_key(spark, tmp_path):
+    """An import may not give a key to a second entry; where a log has it so all the same, a save goes to one of them."""
+    store = KnowledgeStore(spark, f"file://{tmp_path}/kb")
+    got = save(spark, store, {"title": "alpha beta", "content": "one " * 40, "project_scope": "a"}, {"title": "gamma delta", "content": "7 8 9", "project_scope": "b"})
+    rows = store.current().withColumn("dedup_key", F.lit("k1")).drop("embedding")
+    with pytest.raises(ValueError, match="keys"):
+        store.import_records(rows)
+    one = rows.where(F.col("id") == got[0]["entry_id"])
+    assert store.import_records(one) == 1
+    assert store.import_records(one.unionByName(one).withColumn("dedup_key", F.lit("new key")), by_key=True) == 2
+    assert store.current().where("dedup_key = 'new key'").count() == 1
+    again = save(spark, store, {"title": "epsilon", "dedup_key": "k1", "project_scope": "c"})
+    assert len(again) == 1 and again[0]["entry_id"] == got[0]["entry_id"]
+
+
+def test_tags_fold_ascii_only(spark):
+    rows = spark.createDataFrame([(["\u00e9A"],)], "tags array<string>")
+    assert rows.where(has_all_tags(F.col("tags"), ["\u00e9a"])).count() == 1 and rows.where(has_all_tags(F.col("tags"), ["\u00c9a"])).count() == 0

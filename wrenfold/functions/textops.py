@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +49,12 @@ def union_tags(old: Column, new: Column) -> Column:
 
 def has_all_tags(tags: Column, wanted: list[str]) -> Column:
     """Whether each wanted tag is among the tags; A-Z and a-z are alike."""
-    return F.forall(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda w: F.exists(tags, lambda t: F.lower(t) == F.lower(w))) if wanted else F.lit(True)
+    return F.forall(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda w: F.exists(tags, lambda t: _small(t) == _small(w))) if wanted else F.lit(True)
+
+
+def _small(text: Column) -> Column:
+    """The text with A-Z, and no other letter, made small."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
 
 
 def merge_verification(old: Column, new: Column) -> Column:

@@ -47,8 +47,11 @@ def postings(records: DataFrame, columns: tuple[str, ...], id_col: str = "id", s
 
 
 def keep(rows: DataFrame, path: str) -> DataFrame:
-    """Writes postings sorted by token, so that a term's range prunes them, and reads them back."""
-    rows.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
+    """Writes postings sorted by token, so that a term's range prunes them, and reads them back.
+
+    Ranges are of token and record, so the postings of a common token are many partitions.
+    """
+    rows.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

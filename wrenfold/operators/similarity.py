@@ -47,27 +47,27 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _blocks(rows: DataFrame, count: int, mine: str, other: str, others: int) -> DataFrame:
-    """Rows with their own block, and a copy for each block of the other side."""
-    own = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    return rows.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-
-def _count(rows: DataFrame) -> int:
-    return max(1, -(-rows.count() // BLOCK))
+def _blocks(rows: DataFrame, count: str, mine: str, other: str, others: str) -> DataFrame:
+    """Rows with their own block, and a copy for each block of the other side; the columns count and others say of how many."""
+    own = F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    return rows.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop(count, others)
 
 
 def compare(left: DataFrame, right: DataFrame, within: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """within(left block, right block) for all pairs of blocks that agree in scope (null only with null) and width.
 
-    left and right: (id, scope, vector, ...). Blocks are dealt by hash, so a scope that holds most rows is many tasks.
+    left and right: (id, scope, vector, ...). Blocks are dealt by hash, so a scope that holds most rows is many tasks;
+    as many to a scope as it needs, so rows of a small scope are not copied, and rows of a scope of one side go at once.
     """
-    a, b = _count(left), _count(right)
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).toDF(*right.columns)  # may be left itself
     usable = lambda rows: rows.where(F.size("vector") > 0).withColumns({"width": F.size("vector"), "no_scope": F.col("scope").isNull(), "scope": F.coalesce("scope", F.lit(""))})
-    keys = ["scope", "no_scope", "width", "lb", "rb"]
-    lefts = _blocks(usable(left), a, "lb", "rb", b).groupBy(*keys)
-    rights = _blocks(usable(right), b, "rb", "lb", a).groupBy(*keys)
+    left, right, same = usable(left), usable(right), ["scope", "no_scope", "width"]
+    number = lambda rows, name: rows.groupBy(*same).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    counts = number(left, "a").join(number(right, "b"), same)
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    keys = [*same, "lb", "rb"]
+    lefts = _blocks(left.join(counts, same), "a", "lb", "rb", "b").groupBy(*keys)
+    rights = _blocks(right.join(counts, same), "b", "rb", "lb", "a").groupBy(*keys)
     return lefts.cogroup(rights).applyInPandas(lambda x, y: within(x, y), schema)
 
 

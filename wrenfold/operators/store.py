@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def checked_root(root: str) -> str:
     """The dataset's folder, or ValueError for blanks, `..`, system folders and private ones of a home."""
     if not root.strip():
         raise ValueError("the folder is blank")
-    path = root.split("://", 1)[-1]
+    uri = urlsplit(root)
+    path = unquote(uri.path) if uri.scheme else root  # file:/x and file://host/x name the path /x as well
     parts = path.split("/")
     if ".." in parts:
         raise ValueError("the folder has `..`")
@@ -147,19 +149,24 @@ class KnowledgeStore:
         """Takes records as they are, without redaction or merging, and returns how many.
 
         by_key: a record overwrites the entry of its key, or becomes a new one; those without a key are always new.
-        Otherwise every record's id must be there (ValueError if not), and that entry is overwritten.
+        Otherwise every record's id must be there, and no other entry may hold its key (ValueError if not), and that
+        entry is overwritten.
         """
         rows = imported(records).withColumns({"now": F.current_timestamp(), "seq": F.monotonically_increasing_id()})
         known = self.current()
         if by_key:
-            keys = known.where("dedup_key is not null").select("dedup_key", F.col("id").alias("was"), F.col("created_at").alias("since"))
+            keys = known.where("dedup_key is not null").groupBy("dedup_key").agg(F.min("id").alias("was"), F.min_by("created_at", "id").alias("since"))
             rows = rows.join(keys, "dedup_key", "left")
             own = F.coalesce("dedup_key", F.concat(F.lit("row "), F.col("seq").cast("string")))
             new = F.concat(F.lit("k-"), F.sha2(F.concat_ws("|", own, F.col("now").cast("string")), 256))
-            rows = rows.withColumns({"entry_id": F.coalesce("was", new), "op": F.when(F.col("was").isNull(), "insert").otherwise("merge")})
+            again = F.row_number().over(Window.partitionBy(own).orderBy("seq")) > 1
+            rows = rows.withColumns({"entry_id": F.coalesce("was", new), "op": F.when(F.col("was").isNull() & ~again, "insert").otherwise("merge")})
         else:
             rows = rows.join(known.select("id", F.col("id").alias("was"), F.col("created_at").alias("since")), "id", "left")
             rows = rows.withColumns({"entry_id": F.col("was"), "op": F.lit("update")})
+            held = known.select("dedup_key", F.col("id").alias("id")).unionByName(rows.select("dedup_key", "id")).where("dedup_key is not null")
+            if not held.groupBy("dedup_key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").isEmpty():
+                raise ValueError("records have keys that other entries hold")
         path = f"{self.root}/imports/{uuid.uuid4().hex}"
         vector = self.embed(embed_text(*[F.col(c) for c in TEXTS], F.col("tags"))) if self.embed else F.array().cast("array<float>")
         rows = rows.withColumns({"embedding": vector, "id": F.col("entry_id"), "created_at": F.coalesce("since", "now"), "updated_at": F.col("now"), "at": F.col("now")})
@@ -222,7 +229,7 @@ def prepare(saves: DataFrame, embed: Callable[[Column], Column] | None) -> DataF
 
 def resolve(checked: DataFrame, known: DataFrame) -> DataFrame:
     """Adds the entry that each save goes to: by key, else the explicit id, else a near duplicate, else a new one."""
-    by_key = known.where(F.col("dedup_key").isNotNull()).select("dedup_key", F.col("id").alias("key_id"))
+    by_key = known.where(F.col("dedup_key").isNotNull()).groupBy("dedup_key").agg(F.min("id").alias("key_id"))
     rows = checked.join(by_key, "dedup_key", "left")
     rows = rows.join(known.select(F.col("id").alias("entry_id"), F.lit(True).alias("known_id")), "entry_id", "left")
     open_ = rows.where("reason is null and key_id is null and entry_id is null and size(embedding) > 0")
@@ -233,10 +240,12 @@ def resolve(checked: DataFrame, known: DataFrame) -> DataFrame:
     ).select(F.col("id").alias("seq"), F.col("match").alias("near_id"))
     rows = rows.join(near, "seq", "left")
     missing = F.when(F.col("entry_id").isNotNull() & F.col("key_id").isNull() & F.col("known_id").isNull(), "entry_id: unknown")
-    first = F.first("entry_id", True).over(Window.partitionBy("dedup_key").orderBy("seq"))
-    new = F.concat(F.lit("k-"), F.sha2(F.concat_ws("|", "dedup_key", F.first("seq").over(Window.partitionBy("dedup_key").orderBy("seq")), F.col("now").cast("string")), 256))
+    # refused saves follow no other and are followed by none, so they make no group either
+    group = Window.partitionBy("dedup_key", F.when(F.col("reason").isNotNull(), F.col("seq"))).orderBy("seq")
+    first = F.first("entry_id", True).over(group)
+    new = F.concat(F.lit("k-"), F.sha2(F.concat_ws("|", "dedup_key", F.first("seq").over(group), F.col("now").cast("string")), 256))
     rows = rows.withColumns({"reason": F.coalesce("reason", missing), "merged": F.coalesce("key_id", "near_id").isNotNull()})
-    again = F.row_number().over(Window.partitionBy("dedup_key").orderBy("seq")) > 1
+    again = F.row_number().over(group) > 1
     return rows.withColumns({"deduplicated": F.col("merged") | again, "merged": F.col("merged") | again, "entry_id": F.coalesce("key_id", "entry_id", "near_id", first, new)}).drop("key_id", "near_id", "known_id")
 
 

@@ -43,7 +43,7 @@ def _quoted(text: str) -> str:
 # ---- records
 
 RECORDS_SQL = """rec AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, substr(string_split(text, chr(10))[1], 1, 256) AS title,
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10))[1] AS title,
     CASE WHEN doc_id % 3 = 0 THEN 'resolved_failure' ELSE 'workflow' END AS kind, source || ' ' || lang AS context, text AS content,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'checked by ' || lang END AS verification, [lang, source] AS tags,
     CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 10 = 1 THEN 'global' ELSE source END AS project_scope
@@ -57,7 +57,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         i.cast("string").alias("id"),
-        F.substring(F.element_at(F.split("text", "\n"), 1), 1, 256).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.when(i % 3 == 0, "resolved_failure").otherwise("workflow").alias("kind"),
         F.concat_ws(" ", "source", "lang").alias("context"),
         F.col("text").alias("content"),
@@ -331,10 +331,11 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_VECTORS_SQL} SELECT vec_id, round(sqrt(list_dot_product(x, x)), 6) AS norm, round(x[1] / sqrt(list_dot_product(x, x)), 6) AS x0 FROM v")
+@query(f"WITH {_VECTORS_SQL} SELECT vec_id, CAST(k AS INTEGER) AS k, n AS norm, round(e / s, 6) AS x FROM (SELECT vec_id, round(sqrt(list_dot_product(x, x)), 6) AS n, sqrt(list_dot_product(x, x)) AS s, unnest(x) AS e, unnest(range(len(x))) AS k FROM v)")
 def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.length(v), 6).alias("norm"), F.round(F.get(vectors.normalise(v), F.lit(0)), 6).alias("x0"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.length(v), 6).alias("norm"), F.posexplode(vectors.normalise(v)).alias("k", "x"))
+    return rows.withColumn("x", F.round("x", 6))
 
 
 @query(f"""WITH {_VECTORS_SQL}, n AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM v)
@@ -345,13 +346,13 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cosine_pairs(rows, 0.35).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"""WITH {_VECTORS_SQL}, i AS (SELECT vec_id, label, list_transform(x, lambda e, k: e + 0.01 * ((k - 1 + vec_id) % 3)) AS x FROM v WHERE vec_id % 5 = 0),
+@query(f"""WITH {_VECTORS_SQL}, i AS (SELECT vec_id, label, list_transform(x, lambda e, k: e + 0.01 * ((k - 1 + vec_id) % 3)) AS x FROM v),
 p AS (SELECT i.vec_id AS id, v.vec_id AS match, row_number() OVER (PARTITION BY i.vec_id ORDER BY v.vec_id DESC) AS r FROM i JOIN v ON i.label = v.label
 WHERE list_dot_product(i.x, v.x) / sqrt(list_dot_product(i.x, i.x) * list_dot_product(v.x, v.x)) >= 0.92) SELECT id, match FROM p WHERE r = 1""")
 def near_duplicate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).select("id", F.col("project_scope").alias("scope"), F.col("embedding").cast("array<double>").alias("vector"))
     moved = F.transform("vector", lambda e, k: e + F.lit(0.01).cast("double") * ((k + F.col("id")) % 3))
-    return similarity.near_duplicates(rows.where("id % 5 = 0").withColumn("vector", moved), rows.withColumn("updated_at", F.timestamp_seconds("id")))
+    return similarity.near_duplicates(rows.withColumn("vector", moved), rows.withColumn("updated_at", F.timestamp_seconds("id")))
 
 
 @query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h, unnest(range(strlen(text))) AS i FROM documents),
@@ -365,13 +366,13 @@ def mock_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_VECTORS_SQL}, n AS (SELECT count(*) AS n FROM v), t AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS w FROM conversations),
 e AS (SELECT conv_id, turn, x FROM t, n JOIN v ON vec_id = (ascii(w) * 7 + length(w)) % n),
 c AS (SELECT conv_id, turn, unnest(x) AS x, unnest(range(64)) AS k FROM e)
-SELECT conv_id, turn, CAST(k AS INTEGER) AS k, round(avg(x), 6) AS x FROM c WHERE k < 4 GROUP BY conv_id, turn, k""")
+SELECT conv_id, turn, CAST(k AS INTEGER) AS k, round(avg(x), 6) AS x FROM c GROUP BY conv_id, turn, k""")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     words = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("w"))
     tokens = words.select("id", ((F.ascii("w") * 7 + F.length("w")) % e.count()).cast("long").alias("token"))
     found = vectors.pooled(tokens, e.select(F.col("vec_id").alias("token"), "embedding"), "id", "token", "embedding", unit=False)
-    cells = found.select("id.conv_id", "id.turn", F.posexplode(F.slice("vector", 1, 4)).alias("k", "x"))
+    cells = found.select("id.conv_id", "id.turn", F.posexplode("vector").alias("k", "x"))
     return cells.select("conv_id", "turn", "k", F.round("x", 6).alias("x"))
 
 
