@@ -157,7 +157,7 @@ def write(
     """
     spark = docs.sparkSession
     folder = _qualified(spark, folder)
-    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _plan_bytes(docs) // FILE_BYTES)
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, _plan_bytes(docs) // FILE_BYTES))  # joins may be estimated far too large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
