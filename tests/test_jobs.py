@@ -25,6 +25,12 @@ def test_jobs(spark, tmp_path, capsys):
     main(["--root", root, "recent"])
     assert capsys.readouterr().out.count("- **") == 2
 
+    entry = KnowledgeStore(spark, root).current().where("title = 'brew tea'").first()["id"]
+    main(["--root", root, "get", entry])
+    assert json.loads(capsys.readouterr().out)["title"] == "brew tea"
+    main(["--root", root, "history", entry])
+    assert "version" in capsys.readouterr().out
+
     main(["--root", root, "export", "-o", str(tmp_path / "out.jsonl"), "--jsonl"])
     assert "Exported 2" in capsys.readouterr().out
     other = KnowledgeStore(spark, f"file://{tmp_path}/other")
@@ -38,3 +44,6 @@ def test_jobs(spark, tmp_path, capsys):
     assert other.current().count() == 2
     assert [r["operation"] for r in other.history(other.current().first()["id"]).collect()] == ["merge"]
     assert KnowledgeStore(spark, root).import_records(rows) == 2 and other.size_bytes() > 0
+    main(["--root", root, "rollback", entry, "1"])
+    main(["--root", root, "delete", entry, "nobody"])
+    assert "Restored version 1" in (out := capsys.readouterr().out) and "Deleted 1 " in out

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wrenfold.functions.textops import has_all_tags
+from wrenfold.operators import lexical
+from wrenfold.schema import WEIGHTS
 from wrenfold.operators.store import KnowledgeStore, checked_root
-from wrenfold.streaming.upserts import SAVES, parsed, save_stream
+from wrenfold.streaming.upserts import SAVES, parsed, refused, save_stream
 
 
 def save(spark, store, *rows):
@@ -95,6 +97,33 @@ def test_stream(spark, tmp_path):
     lines = spark.readStream.text(str(tmp_path / "in"))
     save_stream(parsed(lines), store, str(tmp_path / "ck")).awaitTermination()
     assert [r["title"] for r in store.current().collect()] == ["From a stream"]
+    # the first batch run again, as after a stop between its save and its commit, changes nothing
+    save_stream(parsed(lines), store, str(tmp_path / "ck")).awaitTermination()
+    (tmp_path / "ck" / "commits" / "0").unlink()
+    (tmp_path / "ck" / "commits" / ".0.crc").unlink(missing_ok=True)
+    save_stream(parsed(lines), store, str(tmp_path / "ck")).awaitTermination()
+    assert store.log().count() == 1
+    left = refused(spark.createDataFrame([("not json",), ("x" * 600_000,), ('{"seq": 1}',), (None,)], "value string")).collect()
+    assert [(r["bytes"], r["reason"]) for r in left] == [(8, "no save in JSON"), (600_000, "longer than the bound"), (None, "no save in JSON")]
+
+
+def test_stored_postings(spark, tmp_path):
+    """Search finds the same whether all, some or none of the postings are stored."""
+    store = KnowledgeStore(spark, f"file://{tmp_path}/kb", embed=None)
+    got = save(spark, store, {"title": "Lock timeouts", "content": "raise the limits"}, {"title": "Cold starts", "content": "limit and lock"}, {"title": "Gone soon", "content": "lock"})
+    save(spark, store, {"title": "Lock timeouts", "content": "zebra locks"})
+    store.delete([got[2]["entry_id"]])
+
+    records = store.current()
+    made = lexical.postings(records, tuple(WEIGHTS)).select("id", "col", "n", "pos", "token")
+    want = sorted(made.collect())
+    rows, total, mean = store.postings()
+    assert (total, mean) == lexical.sizes(records, tuple(WEIGHTS)) and store._batches("postings") == [1, 2, 3]
+    assert sorted(rows.collect()) == want
+    (tmp_path / "kb" / "postings" / "batch=2" / "_SUCCESS").unlink()
+    assert sorted(store.postings()[0].collect()) == want
+    (tmp_path / "kb" / "postings").rename(tmp_path / "kb" / "elsewhere")
+    assert sorted(store.postings()[0].collect()) == want
 
 
 @pytest.mark.parametrize("bad", ["", " ", "/etc/kb", "/data/../x", "/home/a/.ssh/kb", "file:/etc/kb", "file://localhost/etc/kb", "file:///data/%2e%2e/x"])

@@ -1,4 +1,4 @@
-"""Jobs on a store: stats, recent, search, save, export, import, reindex. Run with spark-submit or python -m wrenfold."""
+"""Jobs on a store: stats, recent, search, get, history, save, delete, rollback, export, import, reindex. Run with spark-submit or python -m wrenfold."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wrenfold.functions import render
 from wrenfold.operators.store import KnowledgeStore, default_embedder
-from wrenfold.sources.records import read_json
+from wrenfold.sources.records import read_json, to_json
 from wrenfold.streaming.upserts import SAVES
 
 
@@ -23,6 +23,12 @@ def main(arguments: list[str] | None = None) -> int:
     jobs.add_parser("stats")
     jobs.add_parser("recent")
     jobs.add_parser("reindex")
+    jobs.add_parser("get").add_argument("id")
+    jobs.add_parser("history").add_argument("id")
+    jobs.add_parser("delete").add_argument("id", nargs="+")
+    back = jobs.add_parser("rollback")
+    back.add_argument("id")
+    back.add_argument("version", type=int)
     search = jobs.add_parser("search")
     search.add_argument("query")
     search.add_argument("--limit", type=int, default=5)
@@ -48,6 +54,16 @@ def main(arguments: list[str] | None = None) -> int:
         print(store.recent_markdown())
     elif a.job == "reindex":
         store.reindex()
+    elif a.job == "get":
+        rows = store.get(a.id)
+        print(*[r["j"] for r in rows.select(to_json(rows).alias("j")).collect()], sep="\n")  # one entry
+    elif a.job == "history":
+        store.history(a.id).select("version", "operation", "timestamp", "title").show(truncate=False)
+    elif a.job == "delete":
+        print(f"Deleted {store.delete(a.id)} knowledge entries")
+    elif a.job == "rollback":
+        store.rollback(a.id, a.version)
+        print(f"Restored version {a.version} of {a.id}")
     elif a.job == "save":
         store.save(spark.read.schema(SAVES).json(a.input)).select("seq", "entry_id", "reason", "deduplicated", "merged", "secrets_redacted").show(truncate=False)
     elif a.job == "search":

@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,8 +88,17 @@ def stem(word: str) -> str:
 
 @F.pandas_udf(ArrayType(StringType()))
 def stem_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems of arrays of words; each distinct word of a batch is stemmed once."""
     for batch in batches:
-        yield batch.map(lambda words: None if words is None else [stem(w) for w in words])
+        held = batch.notna()
+        flat = np.concatenate([np.empty(0, object), *batch[held]])
+        places, words = pd.factorize(flat)
+        stems = np.array([stem(w) for w in words], object)[places] if len(flat) else flat
+        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        ends = np.cumsum([len(w) for w in batch[held]])[:-1]
+        for at, found in zip(np.flatnonzero(held), np.split(stems, ends), strict=False):
+            out.iat[at] = found.tolist()
+        yield out
 
 
 def _plain_letters() -> tuple[str, str]:

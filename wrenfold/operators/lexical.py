@@ -55,12 +55,16 @@ def keep(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def sizes(records: DataFrame, columns: tuple[str, ...]) -> tuple[int, float]:
-    """Records, and mean tokens of a record."""
+def length(records: DataFrame, columns: tuple[str, ...]) -> Column:
+    """Tokens of a record."""
     kinds = dict(records.dtypes)
     text = lambda c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c)
-    n = reduce(lambda a, b: a + b, [F.size(tokens(text(c), fold=False)) for c in columns])
-    row = records.select(n.alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    return reduce(lambda a, b: a + b, [F.size(tokens(text(c), fold=False)) for c in columns])
+
+
+def sizes(records: DataFrame, columns: tuple[str, ...]) -> tuple[int, float]:
+    """Records, and mean tokens of a record."""
+    row = records.select(length(records, columns).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
     return row[0], (row[1] or 0) / max(1, row[0])
 
 

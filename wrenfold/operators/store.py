@@ -1,7 +1,8 @@
 """The knowledge store: a dataset folder with an append-only log, and what is done with it.
 
-A write appends one folder of Parquet, so readers see all of it or nothing; the state is a plan over the log. A
-batch of saves is resolved as a whole: key, then explicit id, then near duplicate among the records that were there
+A write appends one folder of Parquet, so readers see all of it or nothing; the state is a plan over the log. The
+keyword index is a folder of postings for each folder of the log, written after it: a search makes the postings of a
+folder that has none yet from its texts, so a writer that stops in between loses nothing. A batch of saves is resolved as a whole: key, then explicit id, then near duplicate among the records that were there
 before the batch; saves of a batch that share a key follow one another by their `seq`.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +25,10 @@ from wrenfold.operators import fusion, lexical, merge, similarity, versions
 from wrenfold.sources.records import export_array, export_lines, imported
 from wrenfold.schema import LIMITS, NEAR_DUPLICATE, RECORD, VECTOR, WEIGHTS
 
-LOG = StructType([StructField("entry_id", StringType()), StructField("seq", LongType()), StructField("op", StringType()), StructField("at", TimestampType()), *RECORD.fields, VECTOR, StructField("batch", IntegerType())])
+LOG = StructType([StructField("entry_id", StringType()), StructField("seq", LongType()), StructField("op", StringType()), StructField("at", TimestampType()), *RECORD.fields, VECTOR, StructField("n_tokens", IntegerType()), StructField("source", StringType()), StructField("batch", IntegerType())])
+#: Columns of the log that are no part of a record.
+LOG_ONLY = ("entry_id", "seq", "op", "at", "n_tokens", "source", "batch")
+POSTINGS = "entry_id string, seq long, col string, n int, pos int, token string, batch int"
 TEXTS = ("title", "context", "content", "verification")
 #: Folders that a dataset may not lie in. Fixed values.
 SYSTEM_FOLDERS = ("/etc", "/dev", "/proc", "/sys", "/bin", "/sbin", "/usr/bin", "/usr/sbin", "/System", "/Library", "/private/etc", "/var/run")
@@ -54,25 +59,59 @@ class KnowledgeStore:
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[Column], Column] | None = default_embedder):
         self.spark, self.root, self.embed = spark, checked_root(root), embed
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+    def _exists(self, name: str = "log") -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _batches(self, name: str) -> list[int]:
+        """Numbers of the folders that are written to their end."""
+        if not self._exists(name):
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/batch=*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
+
     def log(self) -> DataFrame:
         if not self._exists():
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
 
-    def _append(self, writes: DataFrame) -> None:
+    def _append(self, writes: DataFrame, source: str | None = None) -> None:
         last = self.log().agg(F.max("batch"), F.max("seq")).first()
         batch, seq = (last[0] or 0) + 1, last[1] or 0
-        rows = writes.withColumn("seq", F.col("seq") + F.lit(seq + 1)).select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields if f.name != "batch"])
-        rows.write.parquet(f"{self.root}/log/batch={batch}")
+        rows = writes.withColumns({"seq": F.col("seq") + F.lit(seq + 1), "n_tokens": lexical.length(writes, tuple(WEIGHTS)), "source": F.lit(source)})
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields if f.name != "batch"]).write.parquet(f"{self.root}/log/batch={batch}")
+        lexical.keep(self._made(self.log().where(F.col("batch") == batch)), f"{self.root}/postings/batch={batch}")
+
+    def _made(self, log: DataFrame) -> DataFrame:
+        """Postings of the log's rows, made from their texts."""
+        rows = log.where("op <> 'delete'").withColumn("row", F.struct("entry_id", "seq"))
+        made = lexical.postings(rows, tuple(WEIGHTS), "row")
+        return made.select("id.entry_id", "id.seq", "col", "n", "pos", "token")
+
+    def postings(self) -> tuple[DataFrame, int, float]:
+        """Postings of the current records, how many records there are, and their mean tokens.
+
+        Filters on the token reach the stored postings' scan; a narrow row for each record is joined to what they let
+        through.
+        """
+        log, indexed = self.log(), self._batches("postings")
+        live = versions.live(log, "n_tokens")
+        total, mean = live.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
+        parts = []
+        if indexed:
+            stored = self.spark.read.schema(POSTINGS).parquet(f"{self.root}/postings")
+            parts.append(stored.where(F.col("batch").isin(indexed)).drop("batch"))
+        missing = sorted(set(self._batches("log")) - set(indexed))
+        if missing or not parts:
+            parts.append(self._made(log.where(F.col("batch").isin(missing))))
+        rows = reduce(DataFrame.unionByName, parts).join(live.select("entry_id", "seq"), ["entry_id", "seq"])
+        return rows.select(F.col("entry_id").alias("id"), "col", "n", "pos", "token"), total, mean or 0.0
 
     # reads
 
     def current(self) -> DataFrame:
-        return versions.current(self.log()).drop("entry_id", "seq", "op", "at", "batch")
+        return versions.current(self.log()).drop(*LOG_ONLY)
 
     def all(self, scope: str | None = None, tags: list[str] = []) -> DataFrame:  # noqa: B006
         """Records, the latest first."""
@@ -84,13 +123,21 @@ class KnowledgeStore:
         return rows.orderBy(F.desc("updated_at"), "id")
 
     def get(self, entry_id: str) -> DataFrame:
-        return versions.current(self.log().where(F.col("entry_id") == entry_id)).drop("entry_id", "seq", "op", "at", "batch")
+        return versions.current(self.log().where(F.col("entry_id") == entry_id)).drop(*LOG_ONLY)
 
     def get_by_key(self, key: str) -> DataFrame:
         return self.current().where(F.col("dedup_key") == key)
 
     def history(self, entry_id: str) -> DataFrame:
-        return versions.history(self.log().where(F.col("entry_id") == entry_id)).orderBy(F.desc("version"))
+        return versions.history(self.log().where(F.col("entry_id") == entry_id)).drop("n_tokens", "source").orderBy(F.desc("version"))
+
+    def revision(self, entry_id: str, version: int) -> DataFrame:
+        """One overwritten state, or no row."""
+        return self.history(entry_id).where(F.col("version") == version)
+
+    def holds(self, source: str) -> bool:
+        """Whether a batch of that source is in the log."""
+        return not self.log().where(F.col("source") == source).isEmpty()
 
     def recent(self, n: int = 20) -> DataFrame:
         return self.all().limit(n)
@@ -102,8 +149,7 @@ class KnowledgeStore:
         """The `limit` (1 to 50) best records for a query."""
         limit = min(50, max(1, limit))
         records = self.current()
-        rows = lexical.postings(records, tuple(WEIGHTS))
-        total, mean = lexical.sizes(records, tuple(WEIGHTS))
+        rows, total, mean = self.postings()
         vector = None
         if self.embed is not None:
             vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
@@ -111,9 +157,10 @@ class KnowledgeStore:
 
     # writes
 
-    def save(self, saves: DataFrame, at: Column | None = None) -> DataFrame:
+    def save(self, saves: DataFrame, at: Column | None = None, source: str | None = None) -> DataFrame:
         """Saves a batch of (seq, title, kind, context, content, verification, tags, project_scope, entry_id, dedup_key).
 
+        seq is the batch's own order, and no two rows share one. source: a name of the batch that holds() finds.
         Returns (seq, entry_id, reason, deduplicated, merged, secrets_redacted); a row with a reason is not saved.
         """
         at = at if at is not None else F.current_timestamp()
@@ -124,7 +171,7 @@ class KnowledgeStore:
         resolved = resolve(checked, known)
         resolved.write.parquet(path)
         plan = self.spark.read.schema(resolved.schema).parquet(path)
-        self._append(fold(plan.where("reason is null"), known))
+        self._append(fold(plan.where("reason is null"), known), source)
         return plan.select("seq", "entry_id", "reason", "deduplicated", "merged", "secrets_redacted")
 
     def delete(self, ids: list[str]) -> int:

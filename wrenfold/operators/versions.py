@@ -16,6 +16,12 @@ def current(log: DataFrame) -> DataFrame:
     return last.select("r.*").where(F.col("op") != "delete")
 
 
+def live(log: DataFrame, *columns: str) -> DataFrame:
+    """(entry_id, seq, columns) of the current rows: what current() keeps, without its texts in the shuffle."""
+    last = log.groupBy("entry_id").agg(F.max_by(F.struct("seq", "op", *columns), "seq").alias("r"))
+    return last.where(F.col("r.op") != "delete").select("entry_id", "r.seq", *[f"r.{c}" for c in columns])
+
+
 def history(log: DataFrame) -> DataFrame:
     """A row for each overwritten state: its content, version from 1, and the operation and time that overwrote it.
 
