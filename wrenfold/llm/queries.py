@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.llm import bpe, language_id, lm, nearest, packing, quality_classifier, quality_rules, simhash, token_files, url_filters
+from wrenfold.llm import bpe, filter_audit, language_id, lm, nearest, packing, private_data, quality_classifier, quality_rules, simhash, token_files, url_filters, variants
 from wrenfold.llm.common import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,61 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"))
     return quality_classifier.judge(quality_classifier.evidence(docs, model, "source", "lang"))
+
+
+@query
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that give it away."""
+    found = private_data.find(read_table(spark, sf_dir, "documents"))
+    base = private_data.listed(private_data.by_pattern(F.col("spans")))
+    return found.select(
+        "doc_id",
+        *[private_data.of_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        private_data.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents of at least 5 letters and 3 occurrences, with their forms."""
+    words = variants.counted(read_table(spark, sf_dir, "documents"), every=97)
+    return variants.variants(words.where((F.length("word") >= 5) & (F.col("n") >= 3)))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each source, in all their orders."""
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), m AS (
+  SELECT doc_id, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails FROM w
+), f AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), c AS (
+  SELECT part, fails, len(list_filter(fails, lambda x: x)) AS held, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m LEFT JOIN f USING (doc_id) GROUP BY part, fails
+), v AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || e.x || g.x || h.x AS filter_order FROM v a, v b, v e, v g, v h WHERE len(list_distinct([a.x, b.x, e.x, g.x, h.x])) = 5
+), s AS (
+  SELECT filter_order, step, ord(filter_order[step]) - 64 AS k, list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ord(x) - 64) AS earlier
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), j AS (
+  SELECT part, filter_order, step, fails[k] AS hit, step > 1 AND len(list_filter(earlier, lambda q: coalesce(fails[q], false))) > 0 AS gone, held, n, good, toxic FROM s, c
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (hit AND held = 1), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(held, 1)) FILTER (hit), 0) AS BIGINT) AS shapley
+FROM j GROUP BY part, filter_order, step
+"""
