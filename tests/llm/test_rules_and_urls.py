@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -158,6 +159,41 @@ def test_thousands_of_hosts_and_a_hub(spark):
             assert r["verdict"] == ("block" if d > 0.4 * (t + d) else "allow")
 
 
+def test_url_sql_on_a_web(spark, tmp_path):
+    """The query, its SQL and numpy on a web with a hub, chains and links without a scheme."""
+    rng = random.Random(6)
+    names = ["hub.net"] + [f"h{k}.{rng.choice(['net', 'org', 'io'])}" for k in range(300)]
+    pages = [(0, "http://x.com/de/p", "")]
+    edges = []
+    for k, h in enumerate(names[1:]):
+        to = ["hub.net" if rng.random() < 0.2 else rng.choice(names) for _ in range(4)] + (["x.com"] if k % 5 == 0 else [])
+        to = [t for t in to if t != h] if k % 3 else []
+        pages.append((k + 1, f"http://{h}/p", " ".join(f'<A HREF = "{rng.choice(["https:", ""])}//{t.upper()}/q">' for t in to) + "<a xhref='http://no.net/'>"))
+        edges += [(h, t) for t in to]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    ours = {r["page_id"]: r for r in queries.op2_url_filters(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    theirs = con.sql(queries.ORACLES["op2_url_filters"])
+    at = {c: k for k, c in enumerate(theirs.columns)}
+    org = [h for h in names if h.endswith(".org")]
+    trust = brute_spread(edges, dict.fromkeys(org, 1 / len(org)), 0.85, 300)
+    distrust = brute_spread([(b, a) for a, b in edges], {"x.com": 1.0}, 0.85, 300)
+    rows = theirs.fetchall()
+    assert len(rows) == len(ours) == len(pages) and {r[at["verdict"]] for r in rows} == {"allow", "block"}
+    for r in rows:
+        q, host = ours[r[at["page_id"]]], r[at["host"]]
+        assert (q["host"], q["path"], q["rule"], q["verdict"]) == tuple(r[at[c]] for c in ("host", "path", "rule", "verdict"))
+        for kind, brute in (("trust", trust), ("distrust", distrust)):
+            assert abs((q[kind] or 0) - (r[at[kind]] or 0)) < 1e-6 and abs((q[kind] or 0) - brute.get(host, 0.0)) < 1e-6
+
+
+def test_sources_hold_no_control_characters():
+    top = Path(queries.__file__).parents[2]
+    for path in [*top.glob("*.py"), *top.glob("wrenfold/**/*.py"), *top.glob("tests/**/*.py")]:
+        assert not re.search(r"[\x00-\x08\x0b-\x1f\x7f]", path.read_text()), path
+
+
 def test_no_python_on_the_native_paths(spark):
     for df in (queries.op1_quality_rules(spark, SMALL), queries.op2_url_filters(spark, SMALL)):
         plan = df._jdf.queryExecution().toString()

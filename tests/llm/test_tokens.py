@@ -97,9 +97,36 @@ def test_packing_edges(spark):
     assert packing.pack(rows.limit(0), WORD).count() == 0
 
 
-def test_pipeline_of_crc(spark):
+def test_crc_of_pieces(spark):
     got = queries.op6_packing(spark, SMALL)
-    assert dict(got.dtypes)["ids_crc32"] == "bigint" and got.where(F.col("ids_crc32") < 0).count() == 0
+    assert dict(got.dtypes)["ids_crc32"] == "bigint"
+    model = Tokenizer.from_file(WORD)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    ids = {d: np.array([*model.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
+    held = dict.fromkeys(ids, 0)
+    for p in got.collect():
+        part = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert len(part) == p["length"] and p["ids_crc32"] == zlib.crc32(part.tobytes()) and p["doc_tokens"] == len(ids[p["doc_id"]])
+        held[p["doc_id"]] += p["length"]
+    assert all(held[d] == len(ids[d]) for d in ids)
+
+
+def test_ids_beyond_doubles_beside_null(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(i, "a b " * k, "x") for k, i in enumerate(ids)], "doc_id long, text string, ids string")
+    got = packing.pack(rows.repartition(3), WORD).collect()
+    assert {p["doc_id"] for p in got} == set(ids)
+    assert all(zlib.crc32(p["ids"]) == p["ids_crc32"] and len(p["ids"]) == 4 * p["length"] for p in got)
+
+
+def test_token_output_query(spark):
+    """The whole table's ids in files and back, against the library."""
+    model, at = Tokenizer.from_file(WORD), 0
+    rows = {r["doc_id"]: r for r in queries.op10_token_output(spark, SMALL).collect()}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array([*model.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(rows[r["doc_id"]])[1:] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
 
 
 def test_token_files(spark, tmp_path):

@@ -90,10 +90,12 @@ def _rules_sql(value: int) -> str:
     return f"CASE {' '.join(whens)} END"
 
 
+#: Rounds of the SQL, after which 0.85 to their number is below 1e-7.
+_ROUNDS = 100
 _ROUNDS_SQL = ", ".join(
     f"s{k} AS (SELECT kind, host, sum(score) AS score FROM (SELECT s.kind, m.dst AS host, s.score * m.w * 0.85::DOUBLE AS score "
     f"FROM s{k - 1} s JOIN moves m ON m.kind = s.kind AND m.src = s.host UNION ALL SELECT kind, host, seed * (1 - 0.85::DOUBLE) FROM seeds) GROUP BY kind, host)"
-    for k in range(1, 17)
+    for k in range(1, _ROUNDS + 1)
 )
 ORACLES["op2_url_filters"] = rf"""
 WITH p AS (
@@ -103,7 +105,7 @@ WITH p AS (
 ), j AS (
   SELECT page_id, host, path, {_rules_sql(1)} AS rule, {_rules_sql(0)} AS by_rule FROM p
 ), l AS (
-  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS url FROM p
+  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS url FROM p
 ), e AS (
   SELECT src, dst, count(*) AS n FROM (SELECT src, {_host_sql("CASE WHEN starts_with(url, '//') THEN ':' || url ELSE url END")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 ), b AS (
@@ -114,8 +116,8 @@ WITH p AS (
   SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY 1, 2
 ), seeds AS (
   SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM ruled
-), s0 AS (SELECT kind, host, seed AS score FROM seeds), {_ROUNDS_SQL}, t AS (
-  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM s16) GROUP BY host
+), s0 AS (SELECT kind, host, seed * (1 - 0.85::DOUBLE) AS score FROM seeds), {_ROUNDS_SQL}, t AS (
+  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM s{_ROUNDS}) GROUP BY host
 )
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN distrust > 0.75::DOUBLE * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
   round(trust, 9) AS trust, round(distrust, 9) AS distrust
@@ -133,8 +135,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1, with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query

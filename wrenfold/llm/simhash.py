@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wrenfold.llm.common import written
+from wrenfold.llm.common import removed, written
 
 #: Fingerprints that a trie node of the shuffle holds, about; beyond CHUNK times as many it is cut.
 NODE_ROWS, CHUNK = 2048, 8
@@ -240,7 +240,7 @@ def links(reps: DataFrame, limit: int = 3) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b), label the least node of its component.
 
     Alternately every node's larger, then smaller, neighbours are linked to the least one that it knows, until
@@ -265,15 +265,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return row[0], row[1]
 
     pairs = written(edges, "links")
-    before = state(pairs)
-    for _ in range(rounds):
+    before = None
+    while before != (now := state(pairs)):
+        before, was = now, pairs
         pairs = written(hooked(hooked(pairs, True), False), "links")
-        now = state(pairs)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        removed(was)
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
         pairs.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     )
@@ -294,11 +290,3 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     named = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(least, "label").select("fp", "label", "component_id"), "fp")
-
-
-def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, limit: int = 3) -> DataFrame:
-    """One row of docs for each component: of the least id (if any row has one), then of the least text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("doc"))
-    found = near_duplicates(rows, size=size, limit=limit, carry=("doc",)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a hot group is cut down to a row a task before the shuffle
-    return found.groupBy("label").agg(F.min_by("doc", F.struct(f"doc.{text_col}")).alias("doc")).select("doc.*")

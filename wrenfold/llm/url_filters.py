@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenfold.llm.common import written
+from wrenfold.llm.common import removed, written
 
 #: (verdict, host, path)
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -85,6 +85,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
         if k >= rounds:
             both = state.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host")
             change = both.agg(F.try_divide(F.abs(F.sum("score")), F.max("score")).alias("change")).agg(F.max("change")).first()[0] or 0.0
+        if before is not kept:
+            removed(before)
     totals = state.groupBy("kind").agg(F.sum("score").alias("total"))  # a row a kind
     return state.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
 
