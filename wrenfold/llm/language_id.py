@@ -38,6 +38,10 @@ BUCKETS = 1 << 17
 STEPS, RUN = 48, 16
 #: Words after which the texts read so far are labelled.
 GROUP = 1_000_000
+#: Words whose features are held at a time, some 2000 bytes each.
+SCORED = 1 << 15
+#: Batches of an epoch, at most.
+BATCHES = 250
 #: Marks before and after a word, bytes that UTF-8 text has only as controls.
 BEFORE, AFTER = 2, 3
 
@@ -81,11 +85,13 @@ class Model:
     moves: np.ndarray  # (languages, languages), log-potentials from row to column
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty((0, len(self.languages)), np.float32)
-        rows, starts = word_features(words)
-        sizes = np.diff(np.append(starts, len(rows)))
-        return np.add.reduceat(self.weights[rows], starts, axis=0) / np.sqrt(sizes)[:, None]
+        """Scores of the words, whose features are held for SCORED of them at a time."""
+        out = [np.empty((0, len(self.languages)))]
+        for at in range(0, len(words), SCORED):
+            rows, starts = word_features(words[at : at + SCORED])
+            sizes = np.diff(np.append(starts, len(rows)))
+            out.append(np.add.reduceat(self.weights[rows], starts, axis=0) / np.sqrt(sizes)[:, None])
+        return np.concatenate(out)
 
 
 def posteriors(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -130,7 +136,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.5,
     step_w, step_m = np.full((BUCKETS, k), 1e-6, np.float32), np.full((k, k), 1e-6)
     batch = 64
     # each language is drawn equally often; an epoch has as many words as the largest pool, within a bound
-    batches = max(20, min(250, max(map(len, pools)) // (batch * STEPS)))
+    batches = max(20, min(BATCHES, max(map(len, pools)) // (batch * STEPS)))
     for _ in range(epochs * batches):
         y = np.empty((batch, STEPS), np.int64)
         y[:, 0] = rng.integers(0, k, batch)
