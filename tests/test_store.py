@@ -46,7 +46,8 @@ def test_lifecycle(spark, tmp_path):
     assert keyword_only.search("alpha").count() == 0
 
     store.rollback(entry, 1)
-    back = store.get(entry).first()
+    back = store.get(entry, vectors=True).first()
+    assert "embedding" not in store.get(entry).columns and "embedding" not in store.all().columns
     assert back["content"] == "raise the limit" and back["dedup_key"] is None and len(back["embedding"]) == 0
     with pytest.raises(ValueError):
         store.rollback(entry, 99)
@@ -107,23 +108,53 @@ def test_stream(spark, tmp_path):
     assert [(r["bytes"], r["reason"]) for r in left] == [(8, "no save in JSON"), (600_000, "longer than the bound"), (None, "no save in JSON")]
 
 
-def test_stored_postings(spark, tmp_path):
-    """Search finds the same whether all, some or none of the postings are stored."""
+def test_stored_index(spark, tmp_path):
+    """Search finds the same whether all, some or none of the index is stored."""
     store = KnowledgeStore(spark, f"file://{tmp_path}/kb", embed=None)
     got = save(spark, store, {"title": "Lock timeouts", "content": "raise the limits"}, {"title": "Cold starts", "content": "limit and lock"}, {"title": "Gone soon", "content": "lock"})
     save(spark, store, {"title": "Lock timeouts", "content": "zebra locks"})
     store.delete([got[2]["entry_id"]])
 
     records = store.current()
-    made = lexical.postings(records, tuple(WEIGHTS)).select("id", "col", "n", "pos", "token")
-    want = sorted(made.collect())
-    rows, total, mean = store.postings()
-    assert (total, mean) == lexical.sizes(records, tuple(WEIGHTS)) and store._batches("postings") == [1, 2, 3]
-    assert sorted(rows.collect()) == want
-    (tmp_path / "kb" / "postings" / "batch=2" / "_SUCCESS").unlink()
-    assert sorted(store.postings()[0].collect()) == want
-    (tmp_path / "kb" / "postings").rename(tmp_path / "kb" / "elsewhere")
-    assert sorted(store.postings()[0].collect()) == want
+    terms = lexical.terms_of(spark, "locks limit timeout")
+    scored = lexical.bm25(lexical.postings(records, tuple(WEIGHTS)), terms, WEIGHTS, *lexical.sizes(records, tuple(WEIGHTS)))
+    want = [(r["id"], pytest.approx(r["score"])) for r in lexical.top(scored, 9).collect()]
+    found = lambda: [(i, s) for i, _, s in store.index().search(terms, 9).hits]
+    assert store.index().batches() == [1, 2, 3] and store.index().totals() == lexical.sizes(records, tuple(WEIGHTS))
+    assert len(want) == 2 and found() == want
+    for lost in ("segment=3-3", "segment=2-2"):
+        (tmp_path / "kb" / "index" / lost / "_WHOLE").unlink()
+    assert store.search("locks limit timeout").count() == 2 and found() == want
+    (tmp_path / "kb" / "index").rename(tmp_path / "kb" / "elsewhere")
+    assert store.search("locks limit timeout").count() == 2 and found() == want
+
+
+def test_search_carries_no_texts(spark, tmp_path):
+    store = KnowledgeStore(spark, f"file://{tmp_path}/kb")
+    save(spark, store, *[{"title": f"Lock number {k}", "content": f"text {k} " * 9, "project_scope": "ab"[k % 2], "tags": ["x"] if k % 3 else ["y"]} for k in range(12)])
+    hits, report = store.search_with_report("lock number", limit=4, scope="a", tags=["X"], prefilter=True)
+    rows = hits.orderBy("place").collect()
+    assert len(rows) == 4 and [r["place"] for r in rows] == [1, 2, 3, 4] and all(r["project_scope"] == "a" and r["tags"] == ["x"] for r in rows)
+    assert "embedding" not in hits.columns and report["candidate_count"] >= 12 and all(report[f"{p}_ms"] > 0 for p in ("embedding", "keyword", "vector", "fusion"))
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    near = store._nearest([0.1] * 16, 5, None, [])
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan.split("Aggregate")[0]
+    assert store.search("lock", limit=4, scope="zz").count() == 0
+
+
+def test_unfinished_writes_are_unseen(spark, tmp_path):
+    store = KnowledgeStore(spark, f"file://{tmp_path}/kb")
+    save(spark, store, {"title": "one"})
+    half = tmp_path / "kb" / "log" / "batch=2"
+    store.log().drop("batch").withColumn("entry_id", F.lit("half")).write.parquet(f"file://{half}")
+    (half / "_SUCCESS").unlink()
+    assert store.log().count() == 1 and store.search("one").count() == 1
+    # another writer has taken the third number
+    (tmp_path / "kb" / "claims" / "2").touch()
+    (tmp_path / "kb" / "claims" / "3").touch()
+    save(spark, store, {"title": "two words", "content": "other text"})
+    assert sorted(r["batch"] for r in store.log().select("batch").collect()) == [1, 4]
 
 
 @pytest.mark.parametrize("bad", ["", " ", "/etc/kb", "/data/../x", "/home/a/.ssh/kb", "file:/etc/kb", "file://localhost/etc/kb", "file:///data/%2e%2e/x"])

@@ -1,34 +1,37 @@
 """The knowledge store: a dataset folder with an append-only log, and what is done with it.
 
-A write appends one folder of Parquet, so readers see all of it or nothing; the state is a plan over the log. The
-keyword index is a folder of postings for each folder of the log, written after it: a search makes the postings of a
-folder that has none yet from its texts, so a writer that stops in between loses nothing. A batch of saves is resolved as a whole: key, then explicit id, then near duplicate among the records that were there
-before the batch; saves of a batch that share a key follow one another by their `seq`.
+A write appends one folder of Parquet to the log under a number that it claims by making a file that must be new, so
+the second of two writers takes the next one. Readers see the folders that are written to their end, and no other; the
+state is a plan over them. The keyword index (`blocks`) has a segment for each write, made after it, and merges them; a
+search or write first indexes what a writer that stopped has left out. A search carries numbers, scopes and tags, and
+reads texts for its winners alone.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
 from urllib.parse import unquote, urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from wrenfold.functions.redaction import redact
 from wrenfold.functions.textops import bounded, clean_tags, dedup_key, embed_text, has_all_tags, head_bytes, kind_or
-from wrenfold.functions.vectors import bucket_embedding
+from wrenfold.functions.vectors import bucket_embedding, dot
 from wrenfold.functions import render
 from wrenfold.operators import fusion, lexical, merge, similarity, versions
+from wrenfold.operators.blocks import BlockIndex
 from wrenfold.sources.records import export_array, export_lines, imported
-from wrenfold.schema import LIMITS, NEAR_DUPLICATE, RECORD, VECTOR, WEIGHTS
+from wrenfold.schema import LIMITS, NEAR_DUPLICATE, RANK_CONSTANT, RECORD, SCORE_FLOOR, VECTOR, WEIGHTS
 
 LOG = StructType([StructField("entry_id", StringType()), StructField("seq", LongType()), StructField("op", StringType()), StructField("at", TimestampType()), *RECORD.fields, VECTOR, StructField("n_tokens", IntegerType()), StructField("source", StringType()), StructField("batch", IntegerType())])
 #: Columns of the log that are no part of a record.
 LOG_ONLY = ("entry_id", "seq", "op", "at", "n_tokens", "source", "batch")
-POSTINGS = "entry_id string, seq long, col string, n int, pos int, token string, batch int"
 TEXTS = ("title", "context", "content", "verification")
 #: Folders that a dataset may not lie in. Fixed values.
 SYSTEM_FOLDERS = ("/etc", "/dev", "/proc", "/sys", "/bin", "/sbin", "/usr/bin", "/usr/sbin", "/System", "/Library", "/private/etc", "/var/run")
@@ -72,46 +75,57 @@ class KnowledgeStore:
         return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
 
     def log(self) -> DataFrame:
-        if not self._exists():
+        """Rows of the folders that are written to their end."""
+        found = [f"{self.root}/log/batch={b}" for b in self._batches("log")]
+        if not found:
             return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+        return self.spark.read.schema(LOG).option("basePath", f"{self.root}/log").parquet(*found)
+
+    def _claim(self, batch: int) -> int:
+        """The first number from batch on that no writer has taken, taken by this one."""
+        while True:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{batch}")
+            try:
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
+                return batch
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+                batch += 1
 
     def _append(self, writes: DataFrame, source: str | None = None) -> None:
         last = self.log().agg(F.max("batch"), F.max("seq")).first()
-        batch, seq = (last[0] or 0) + 1, last[1] or 0
+        batch, seq = self._claim((last[0] or 0) + 1), last[1] or 0
         rows = writes.withColumns({"seq": F.col("seq") + F.lit(seq + 1), "n_tokens": lexical.length(writes, tuple(WEIGHTS)), "source": F.lit(source)})
         rows.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields if f.name != "batch"]).write.parquet(f"{self.root}/log/batch={batch}")
-        lexical.keep(self._made(self.log().where(F.col("batch") == batch)), f"{self.root}/postings/batch={batch}")
-
-    def _made(self, log: DataFrame) -> DataFrame:
-        """Postings of the log's rows, made from their texts."""
-        rows = log.where("op <> 'delete'").withColumn("row", F.struct("entry_id", "seq"))
-        made = lexical.postings(rows, tuple(WEIGHTS), "row")
-        return made.select("id.entry_id", "id.seq", "col", "n", "pos", "token")
-
-    def postings(self) -> tuple[DataFrame, int, float]:
-        """Postings of the current records, how many records there are, and their mean tokens.
-
-        Filters on the token reach the stored postings' scan; a narrow row for each record is joined to what they let
-        through.
-        """
-        log, indexed = self.log(), self._batches("postings")
-        live = versions.live(log, "n_tokens")
-        total, mean = live.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
-        parts = []
-        if indexed:
-            stored = self.spark.read.schema(POSTINGS).parquet(f"{self.root}/postings")
-            parts.append(stored.where(F.col("batch").isin(indexed)).drop("batch"))
-        missing = sorted(set(self._batches("log")) - set(indexed))
-        if missing or not parts:
-            parts.append(self._made(log.where(F.col("batch").isin(missing))))
-        rows = reduce(DataFrame.unionByName, parts).join(live.select("entry_id", "seq"), ["entry_id", "seq"])
-        return rows.select(F.col("entry_id").alias("id"), "col", "n", "pos", "token"), total, mean or 0.0
+        self.index_missing()
+
+    def index(self) -> BlockIndex:
+        return BlockIndex(self.spark, f"{self.root}/index", WEIGHTS)
+
+    def index_missing(self) -> None:
+        """Indexes the folders of the log that no segment covers, and merges segments."""
+        index = self.index()
+        missing = sorted(set(self._batches("log")) - set(index.batches()))
+        for batch in missing:
+            log = self.log()
+            new = log.where(F.col("batch") == batch)
+            narrow = log.select("entry_id", "seq", "op", "batch")
+            # what the batch replaces or deletes: rows that were current before it, and its own but the last of an entry
+            before = versions.live(narrow.where(F.col("batch") < batch))
+            last = narrow.where(F.col("batch") == batch).groupBy("entry_id").agg(F.max("seq").alias("last"))
+            gone = before.join(last, "entry_id", "left_semi").select("entry_id", "seq")
+            own = narrow.where(F.col("batch") == batch).join(last, "entry_id").where("seq < last").select("entry_id", "seq")
+            index.add(new.where("op <> 'delete'"), batch, gone.unionByName(own))
+        if missing:
+            index.compact()
 
     # reads
 
-    def current(self) -> DataFrame:
-        return versions.current(self.log()).drop(*LOG_ONLY)
+    def current(self, vectors: bool = False) -> DataFrame:
+        """Records, with their vectors if asked for."""
+        log = self.log()
+        return versions.current(log if vectors else log.drop("embedding")).drop(*LOG_ONLY)
 
     def all(self, scope: str | None = None, tags: list[str] = []) -> DataFrame:  # noqa: B006
         """Records, the latest first."""
@@ -122,8 +136,9 @@ class KnowledgeStore:
             rows = rows.where(has_all_tags(F.col("tags"), tags))
         return rows.orderBy(F.desc("updated_at"), "id")
 
-    def get(self, entry_id: str) -> DataFrame:
-        return versions.current(self.log().where(F.col("entry_id") == entry_id)).drop(*LOG_ONLY)
+    def get(self, entry_id: str, vectors: bool = False) -> DataFrame:
+        found = versions.current(self.log().where(F.col("entry_id") == entry_id)).drop(*LOG_ONLY)
+        return found if vectors else found.drop("embedding")
 
     def get_by_key(self, key: str) -> DataFrame:
         return self.current().where(F.col("dedup_key") == key)
@@ -143,17 +158,69 @@ class KnowledgeStore:
         return self.all().limit(n)
 
     def stats(self) -> DataFrame:
-        return stats(self.current(), versions.history(self.log()))
+        return stats(self.current(vectors=True), versions.history(self.log()))
 
     def search(self, query: str, limit: int = 5, scope: str | None = None, tags: list[str] = [], prefilter: bool = False) -> DataFrame:  # noqa: B006
-        """The `limit` (1 to 50) best records for a query."""
+        """The `limit` (1 to 50) best records for a query; scope, tags and prefilter as in fusion.hybrid."""
+        return self.search_with_report(query, limit, scope, tags, prefilter)[0]
+
+    def search_with_report(self, query: str, limit: int = 5, scope: str | None = None, tags: list[str] = [], prefilter: bool = False) -> tuple[DataFrame, dict[str, float]]:  # noqa: B006
+        """search(), and its candidates of both sides, milliseconds by phase, and blocks that match and were scored.
+
+        Between the phases go ids, numbers, scopes and tags: of `candidates(limit)` rows a side at most, 500.
+        """
         limit = min(50, max(1, limit))
-        records = self.current()
-        rows, total, mean = self.postings()
+        k = fusion.candidates(limit)
+        clock = [time.perf_counter()]
+        lap = lambda: (clock.append(time.perf_counter()), 1000 * (clock[-1] - clock[-2]))[1]
         vector = None
         if self.embed is not None:
             vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
-        return fusion.hybrid(records, rows, lexical.terms_of(self.spark, query), WEIGHTS, total, mean, vector, limit, scope, tags, prefilter)
+        report = {"embedding_ms": lap()}
+        self.index_missing()
+        found = self.index().search(lexical.terms_of(self.spark, query), k)
+        keyword = {i: (rank, score, seq) for rank, (i, seq, score) in enumerate(found.hits, 1)}
+        report |= {"keyword_ms": lap(), "blocks": found.blocks, "scored_blocks": found.scored_blocks}
+        near = self._nearest(vector, k, scope, tags).collect() if vector else []
+        semantic = {r["id"]: (rank, r["score"], r["seq"]) for rank, r in enumerate(near, 1)}
+        report |= {"vector_ms": lap(), "candidate_count": len(keyword) + len(semantic)}
+
+        scores = {i: sum(1.0 / (RANK_CONSTANT + side[i][0]) for side in (keyword, semantic) if i in side) for i in keyword.keys() | semantic.keys()}
+        order = sorted(scores, key=lambda i: (-scores[i], i))
+        if not prefilter:
+            order = order[:limit]
+        fits = F.lit(True) if scope is None else F.coalesce(F.col("project_scope") == scope, F.lit(False))
+        if scope is not None or tags:
+            if tags:
+                fits &= has_all_tags(F.col("tags"), tags)
+            narrow = self.log().where(F.col("entry_id").isin(order)).select("entry_id", "seq", "project_scope", "tags")
+            seqs = self.spark.createDataFrame([(i, (keyword.get(i) or semantic[i])[2]) for i in order], "entry_id string, seq long")
+            left = {r["entry_id"] for r in narrow.join(F.broadcast(seqs), ["entry_id", "seq"]).where(fits).select("entry_id").collect()}
+            order = [i for i in order if i in left][:limit]
+        none = (None, None, None)
+        label = "reciprocal_rank_fusion" if vector is not None else "lexical_only"
+        rows = [
+            (i, (keyword.get(i) or semantic[i])[2], *keyword.get(i, none)[:2], *semantic.get(i, none)[:2], scores[i], label, place)
+            for place, i in enumerate(order, 1)
+        ]
+        won = self.spark.createDataFrame(rows, "entry_id string, seq long, keyword_rank int, keyword_score double, semantic_rank int, semantic_score double, score double, ranking string, place int")
+        records = self.log().where(F.col("entry_id").isin(order)).drop("embedding", *[c for c in LOG_ONLY if c not in ("entry_id", "seq")])
+        report["fusion_ms"] = lap()
+        return records.join(F.broadcast(won), ["entry_id", "seq"]).drop("entry_id", "seq"), report
+
+    def _nearest(self, vector: list[float], k: int, scope: str | None, tags: list[str]) -> DataFrame:
+        """(id, seq, score) of the k current records of the largest inner product, at least the floor.
+
+        Every row is scored in the scan; its score, not its vector, goes on to find out which is the current one.
+        """
+        asked = F.array(*[F.lit(float(x)) for x in vector])
+        score = F.when(F.size("embedding") == len(vector), dot(F.col("embedding"), asked)).alias("score")
+        rows = versions.live(self.log().select("entry_id", "seq", "op", "project_scope", "tags", score), "project_scope", "tags", "score").where("score is not null")
+        if scope is not None:
+            rows = rows.where(F.col("project_scope") == scope)
+        if tags:
+            rows = rows.where(has_all_tags(F.col("tags"), tags))
+        return rows.select(F.col("entry_id").alias("id"), "seq", "score").orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= SCORE_FLOOR)
 
     # writes
 
@@ -165,7 +232,7 @@ class KnowledgeStore:
         """
         at = at if at is not None else F.current_timestamp()
         checked = prepare(saves, self.embed).withColumn("now", at)
-        known = self.current()
+        known = self.current(vectors=True)
         # resolved once and staged, so that report and log agree on new ids and times
         path = f"{self.root}/saves/{uuid.uuid4().hex}"
         resolved = resolve(checked, known)
@@ -176,7 +243,7 @@ class KnowledgeStore:
 
     def delete(self, ids: list[str]) -> int:
         """Deletes entries, and returns how many were there. Their history stays."""
-        found = self.current().where(F.col("id").isin(ids))
+        found = self.current(vectors=True).where(F.col("id").isin(ids))
         writes = found.select(F.col("id").alias("entry_id"), F.lit(0).alias("seq"), F.lit("delete").alias("op"), F.current_timestamp().alias("at"), "*")
         n = writes.count()
         if n:
@@ -255,7 +322,7 @@ class KnowledgeStore:
         if self.embed is None:
             return
         vector = self.embed(embed_text(*[F.col(c) for c in TEXTS], F.col("tags")))
-        writes = self.current().withColumns({"embedding": vector, "updated_at": F.current_timestamp()})
+        writes = self.current(vectors=True).withColumns({"embedding": vector, "updated_at": F.current_timestamp()})
         self._append(writes.select(F.col("id").alias("entry_id"), F.lit(0).alias("seq"), F.lit("update").alias("op"), F.col("updated_at").alias("at"), "*"))
 
 
