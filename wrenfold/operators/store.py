@@ -24,10 +24,10 @@ from wrenfold.functions.redaction import redact
 from wrenfold.functions.textops import bounded, clean_tags, dedup_key, embed_text, has_all_tags, head_bytes, kind_or
 from wrenfold.functions.vectors import bucket_embedding, dot
 from wrenfold.functions import render
-from wrenfold.operators import fusion, lexical, merge, similarity, versions
+from wrenfold.operators import batches, fusion, lexical, versions
 from wrenfold.operators.blocks import BlockIndex
 from wrenfold.sources.records import export_array, export_lines, imported
-from wrenfold.schema import LIMITS, NEAR_DUPLICATE, RANK_CONSTANT, RECORD, SCORE_FLOOR, VECTOR, WEIGHTS
+from wrenfold.schema import LIMITS, RANK_CONSTANT, RECORD, SCORE_FLOOR, VECTOR, WEIGHTS
 
 LOG = StructType([StructField("entry_id", StringType()), StructField("seq", LongType()), StructField("op", StringType()), StructField("at", TimestampType()), *RECORD.fields, VECTOR, StructField("n_tokens", IntegerType()), StructField("source", StringType()), StructField("batch", IntegerType())])
 #: Columns of the log that are no part of a record.
@@ -234,11 +234,13 @@ class KnowledgeStore:
         checked = prepare(saves, self.embed).withColumn("now", at)
         known = self.current(vectors=True)
         # resolved once and staged, so that report and log agree on new ids and times
-        path = f"{self.root}/saves/{uuid.uuid4().hex}"
-        resolved = resolve(checked, known)
-        resolved.write.parquet(path)
-        plan = self.spark.read.schema(resolved.schema).parquet(path)
-        self._append(fold(plan.where("reason is null"), known), source)
+        scratch = f"{self.root}/saves/{uuid.uuid4().hex}"
+        checked.write.parquet(f"{scratch}/checked")
+        checked = self.spark.read.schema(checked.schema).parquet(f"{scratch}/checked")
+        resolved = batches.resolve(checked, known, scratch)
+        resolved.write.parquet(f"{scratch}/plan")
+        plan = self.spark.read.schema(resolved.schema).parquet(f"{scratch}/plan")
+        self._append(batches.fold(plan.where("reason is null"), known, scratch), source)
         return plan.select("seq", "entry_id", "reason", "deduplicated", "merged", "secrets_redacted")
 
     def delete(self, ids: list[str]) -> int:
@@ -341,52 +343,6 @@ def prepare(saves: DataFrame, embed: Callable[[Column], Column] | None) -> DataF
     return rows.drop(*[f"{c}_ok" for c in TEXTS], "tags_ok", *[f"{c}_red" for c in TEXTS])
 
 
-def resolve(checked: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds the entry that each save goes to: by key, else the explicit id, else a near duplicate, else a new one."""
-    by_key = known.where(F.col("dedup_key").isNotNull()).groupBy("dedup_key").agg(F.min("id").alias("key_id"))
-    rows = checked.join(by_key, "dedup_key", "left")
-    rows = rows.join(known.select(F.col("id").alias("entry_id"), F.lit(True).alias("known_id")), "entry_id", "left")
-    open_ = rows.where("reason is null and key_id is null and entry_id is null and size(embedding) > 0")
-    near = similarity.near_duplicates(
-        open_.select(F.col("seq").alias("id"), F.col("project_scope").alias("scope"), F.col("embedding").alias("vector")),
-        known.select("id", F.col("project_scope").alias("scope"), F.col("embedding").alias("vector"), "updated_at"),
-        NEAR_DUPLICATE,
-    ).select(F.col("id").alias("seq"), F.col("match").alias("near_id"))
-    rows = rows.join(near, "seq", "left")
-    missing = F.when(F.col("entry_id").isNotNull() & F.col("key_id").isNull() & F.col("known_id").isNull(), "entry_id: unknown")
-    # refused saves follow no other and are followed by none, so they make no group either
-    group = Window.partitionBy("dedup_key", F.when(F.col("reason").isNotNull(), F.col("seq"))).orderBy("seq")
-    first = F.first("entry_id", True).over(group)
-    new = F.concat(F.lit("k-"), F.sha2(F.concat_ws("|", "dedup_key", F.first("seq").over(group), F.col("now").cast("string")), 256))
-    rows = rows.withColumns({"reason": F.coalesce("reason", missing), "merged": F.coalesce("key_id", "near_id").isNotNull()})
-    again = F.row_number().over(group) > 1
-    return rows.withColumns({"deduplicated": F.col("merged") | again, "merged": F.col("merged") | again, "entry_id": F.coalesce("key_id", "entry_id", "near_id", first, new)}).drop("key_id", "near_id", "known_id")
-
-
-def fold(plan: DataFrame, known: DataFrame) -> DataFrame:
-    """The log rows of a batch: per entry, its saves one after another onto what was there."""
-    fields = [f.name for f in RECORD.fields]
-    incoming = plan.withColumns({"id": F.col("entry_id"), "created_at": F.col("now"), "updated_at": F.col("now")})
-    each = incoming.select("entry_id", F.struct("seq", "merged", F.struct(*fields).alias("record"), "embedding").alias("s"))
-    saves = each.groupBy("entry_id").agg(F.sort_array(F.collect_list("s")).alias("saves"))
-    base = known.select(F.col("id").alias("entry_id"), F.struct(*fields).alias("old"))
-    rows = saves.join(base, "entry_id", "left")
-    written = "struct<seq: bigint, op: string, record: " + RECORD.simpleString() + ", embedding: array<float>>"
-    start = F.struct(F.col("old").alias("last"), F.array().cast(f"array<{written}>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        new, old = s["record"], state["last"]
-        replaced = F.struct(*[(F.coalesce(old["created_at"], new[c]) if c == "created_at" else new[c]).alias(c) for c in fields])
-        record = F.when(old.isNotNull() & s["merged"], merge.merged(old, new, new["updated_at"])).otherwise(replaced).cast(RECORD.simpleString())
-        op = F.when(old.isNull(), "insert").otherwise("update")
-        row = F.struct(s["seq"].cast("bigint").alias("seq"), op.alias("op"), record.alias("record"), s["embedding"].cast("array<float>").alias("embedding")).cast(written)
-        return F.struct(record.alias("last"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    start = start.cast(f"struct<last: {RECORD.simpleString()}, out: array<{written}>>")
-    done = rows.select("entry_id", F.explode(F.aggregate("saves", start, step, lambda x: x["out"])).alias("w"))
-    return done.select("entry_id", "w.seq", "w.op", F.col("w.record.updated_at").alias("at"), "w.record.*", "w.embedding")
-
-
 def stats(records: DataFrame, revisions: DataFrame) -> DataFrame:
     """One row: entries, revisions, (scope, n) by n, and whether any record has a vector.
 
