@@ -101,6 +101,14 @@ def stem_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield out
 
 
+@F.pandas_udf(StringType())
+def stem_each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems of words; each distinct word of a batch is stemmed once."""
+    for batch in batches:
+        places, words = pd.factorize(batch)
+        yield pd.Series(np.array([*map(stem, words), None], object)[places], index=batch.index)
+
+
 def _plain_letters() -> tuple[str, str]:
     """Latin letters with marks and the letters below the marks, by Unicode's decomposition."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]

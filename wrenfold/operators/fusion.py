@@ -45,15 +45,17 @@ def hybrid(
     tags: list[str] = [],  # noqa: B006
     prefilter: bool = False,
     floor: float = SCORE_FLOOR,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """The winners' records with score, ranks, similarity, ranking and place.
 
     Scope and tags filter the vector side first but the keyword side last, after the cut to `limit`, so fewer rows
-    may come back than match; prefilter cuts after filtering instead.
+    may come back than match; prefilter cuts after filtering instead. vectors: a frame of its own for the vector side,
+    with the columns that it filters by, else the records'.
     """
     k = candidates(limit)
     keyword = ranked(top(bm25(rows, terms, weights, total, mean), k), "keyword", False)
-    semantic = ranked(vector_top(records, vector or [], k, floor, scope, tags), "semantic", True)
+    semantic = ranked(vector_top(records if vectors is None else vectors, vector or [], k, floor, scope, tags), "semantic", True)
     fused = fuse(keyword, semantic)
     fits = F.lit(True) if scope is None else F.coalesce(F.col("project_scope") == scope, F.lit(False))
     if tags:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.functions.stemming import stem, stem_all, tokens
+from wrenfold.functions.stemming import stem, stem_all, stem_each, tokens
 from wrenfold.functions.textops import query_terms
 
 #: Fixed values of the ranking formula: k1, b, and what an idf of zero or less becomes.
@@ -34,16 +34,35 @@ def terms_of(spark: SparkSession, query: str, stemmed: bool = True) -> list[Term
     return [Term(tuple(stem(p) if stemmed else p for p in r["parts"]), r["prefix"]) for r in found if r["parts"]]
 
 
-def postings(records: DataFrame, columns: tuple[str, ...], id_col: str = "id", stemmed: bool = True, fold: bool = True) -> DataFrame:
-    """A row for each token of the columns; an array column counts as its items joined by spaces."""
+def _begins(part: str, stemmed: bool) -> str:
+    """What every word starts with whose token is, or starts with, part.
+
+    A stem is the start of its word, but that it may end in an e that was added, an i that was a y, or the bl(e) of a
+    bility.
+    """
+    if not stemmed:
+        return part
+    return part[:-2] if part.endswith("ble") else part[:-1] if part.endswith(("bl", "e", "i")) else part
+
+
+def postings(records: DataFrame, columns: tuple[str, ...], id_col: str = "id", stemmed: bool = True, fold: bool = True, terms: list[Term] | None = None) -> DataFrame:
+    """A row for each token of the columns; an array column counts as its items joined by spaces.
+
+    terms: only rows that these may ask for; other words are left out before any is stemmed.
+    """
     kinds = dict(records.dtypes)
     text = lambda c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c)
     each = records.select(F.col(id_col).alias("id"), *[tokens(text(c), fold).alias(c) for c in columns])
     each = each.select("id", F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("words")) for c in columns]).alias("fields"))
     each = each.withColumn("n", F.aggregate("fields", F.lit(0), lambda s, f: s + F.size(f["words"])))
     each = each.select("id", "n", F.inline("fields"))
-    words = stem_all("words") if stemmed else F.col("words")
-    return each.select("id", "col", "n", F.posexplode(words).alias("pos", "token"))
+    if terms is None:
+        words = stem_all("words") if stemmed else F.col("words")
+        return each.select("id", "col", "n", F.posexplode(words).alias("pos", "token"))
+    rows = each.select("id", "col", "n", F.posexplode("words").alias("pos", "token"))
+    starts = {_begins(p, stemmed) for t in terms for p in t.parts}
+    rows = rows.where(reduce(lambda a, b: a | b, [F.startswith("token", F.lit(b)) for b in sorted(starts)], F.lit(False)))
+    return rows.withColumn("token", stem_each("token")) if stemmed else rows
 
 
 def keep(rows: DataFrame, path: str) -> DataFrame:
@@ -59,7 +78,7 @@ def length(records: DataFrame, columns: tuple[str, ...]) -> Column:
     """Tokens of a record."""
     kinds = dict(records.dtypes)
     text = lambda c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c)
-    return reduce(lambda a, b: a + b, [F.size(tokens(text(c), fold=False)) for c in columns])
+    return reduce(lambda a, b: a + b, [F.regexp_count(F.lower(F.coalesce(text(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+")) for c in columns])
 
 
 def sizes(records: DataFrame, columns: tuple[str, ...]) -> tuple[int, float]:

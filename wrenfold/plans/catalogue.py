@@ -6,6 +6,8 @@ vectors of embeddings that have their id, and the turns of conversations as vers
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wrenfold.functions import redaction, render, textops, vectors
 from wrenfold.operators import fusion, lexical, merge, similarity, store, versions
+from wrenfold.operators.blocks import BlockIndex
 from wrenfold.sources import records as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,26 +216,41 @@ def contains_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).where(textops.has_all_tags(F.col("tags"), ["DE", "src3"])).select("id")
 
 
-QUERY_TEXTS = ["LockTimeoutException in db_pool", "  HTTPServer2 x ", "fix_the_bug fix", "a B a", ""]
+_PARTS_SQL = """parts AS (
+  SELECT *, CASE WHEN contains(token, '_') THEN [token] || list_filter(string_split(token, '_'), lambda x: x <> '' AND x <> token)
+    ELSE [token] || list_filter(string_split(regexp_replace(regexp_replace(token, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), '(\\p{Lu})(\\p{Lu}\\p{Ll})', '\\1 \\2', 'g'), ' '),
+      lambda x: strlen(x) > 1 AND x <> token) END AS part FROM words
+)"""
+#: A name in snake case and one in camel case, with an acronym, after a document's first line.
+_NAMES_SQL = "source || '_' || lang || '_x ' || 'get' || upper(lang[1]) || lang[2:] || 'HTTPOf' || upper(source[1]) || source[2:]"
 
 
-@query("""SELECT * FROM (VALUES
-  (0, 'LockTimeoutException+,Lock+,Timeout+,Exception+,in,db_pool+,db,pool+'), (1, 'HTTPServer2+,HTTP+,Server2+,x'),
-  (2, 'fix_the_bug+,fix+,the+,bug+'), (3, 'a,B'), (4, '')) t(query_no, terms)""")
-def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(QUERY_TEXTS)), "query_no int, q string")
-    terms = F.transform(textops.query_terms(F.col("q")), lambda t: F.concat(t["term"], F.when(t["prefix"], "+").otherwise("")))
-    return rows.select("query_no", F.array_join(terms, ",").alias("terms"))
+def _lines_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.concat("source", F.lit("_"), "lang", F.lit("_x get"), F.initcap("lang"), F.lit("HTTPOf"), F.initcap("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", names, F.substring_index("text", "\n", 1)).alias("q"))
 
 
-IDENTIFIERS = ["parseHTMLDoc", "snake_case_Name", "XMLHttpRequest", "plain", "aB", "ABc"]
+@query(rf"""WITH q AS (SELECT doc_id, string_split(trim({_NAMES_SQL} || ' ' || string_split(text, chr(10))[1]), '') AS c FROM documents),
+cut AS (SELECT doc_id, array_to_string(list_filter(c[1:1024], lambda x, i: strlen(array_to_string(c[1:i], '')) <= 1024), '') AS q FROM q),
+words AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS place FROM (SELECT doc_id, list_filter(regexp_split_to_array(q, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS t FROM cut)),
+{_PARTS_SQL}, each AS (SELECT doc_id, place * 100 + unnest(range(len(part))) AS place, unnest(part) AS term FROM parts),
+once AS (SELECT doc_id, arg_min(term, place) AS term, min(place) AS place FROM each GROUP BY doc_id, lower(term)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM once)
+SELECT doc_id, string_agg(term || CASE WHEN length(term) >= 3 THEN '+' ELSE '' END, ',' ORDER BY place) AS terms FROM kept WHERE n <= 24 GROUP BY doc_id""")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of every document's first line, taken as a query."""
+    terms = F.transform(textops.query_terms(F.col("q")), lambda t: F.concat(t["term"], F.when(t["prefix"], "+").otherwise("")))
+    return _lines_with_names(spark, sf_dir).select("doc_id", F.array_join(terms, ",").alias("terms"))
 
 
-@query("""SELECT * FROM (VALUES ('parseHTMLDoc', 'parseHTMLDoc,parse,HTML,Doc'), ('snake_case_Name', 'snake_case_Name,snake,case,Name'),
-  ('XMLHttpRequest', 'XMLHttpRequest,XML,Http,Request'), ('plain', 'plain'), ('aB', 'aB'), ('ABc', 'ABc,Bc')) t(token, parts)""")
+@query(rf"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all({_NAMES_SQL} || ' ' || coalesce(text, ''), '[\p{{L}}\p{{N}}_]+')) AS token FROM documents),
+{_PARTS_SQL} SELECT token, array_to_string(part, ',') AS parts FROM parts""")
 def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in IDENTIFIERS], "token string")
-    return rows.select("token", F.array_join(textops.identifier_parts(F.col("token")), ",").alias("parts"))
+    """The parts of every distinct token of all texts."""
+    names = F.concat("source", F.lit("_"), "lang", F.lit("_x get"), F.initcap("lang"), F.lit("HTTPOf"), F.initcap("source"))
+    found = F.regexp_extract_all(F.concat_ws(" ", names, "text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    tokens = table(spark, sf_dir, "documents").select(F.explode(found).alias("token")).distinct()
+    return tokens.select("token", F.array_join(textops.identifier_parts(F.col("token")), ",").alias("parts"))
 
 
 @query("SELECT p_partkey, CAST(greatest(1, least(50, CASE WHEN p_size - 10 >= 0 THEN p_size - 10 ELSE 5 END)) AS INTEGER) AS n FROM part")
@@ -268,7 +286,7 @@ def _bm25_sql(weights: dict[str, float], terms: list[lexical.Term], k: int | Non
 
 def _bm25(spark: SparkSession, sf_dir: str, weights: dict[str, float], terms: list[lexical.Term]) -> DataFrame:
     rows = records(spark, sf_dir)
-    found = lexical.postings(rows, tuple(weights), stemmed=False, fold=False)
+    found = lexical.postings(rows, tuple(weights), stemmed=False, fold=False, terms=terms)
     total, mean = lexical.sizes(rows, tuple(weights))
     return lexical.bm25(found, terms, weights, total, mean).select("id", F.round("score", 6).alias("score"))
 
@@ -298,9 +316,32 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns, stemmed: tested against an independent engine."""
     rows = records(spark, sf_dir)
     weights = store.WEIGHTS
-    found = lexical.postings(rows, tuple(weights))
+    terms = lexical.terms_of(spark, "threshing theEres of_the")
+    found = lexical.postings(rows, tuple(weights), terms=terms)
     total, mean = lexical.sizes(rows, tuple(weights))
-    return lexical.top(lexical.bm25(found, lexical.terms_of(spark, "threshing theEres of_the"), weights, total, mean), 20)
+    return lexical.top(lexical.bm25(found, terms, weights, total, mean), 20)
+
+
+BLOCK_TERMS = [*PLAIN_TERMS, *PHRASE_TERMS]
+
+
+@query(f"WITH {RECORDS_SQL}, {_bm25_sql(DOC_WEIGHTS, BLOCK_TERMS, 20)} SELECT id, score FROM bm")
+def keyword_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best by an index that skips blocks: built over all records, searched, and left in the shared folder."""
+    index = BlockIndex(spark, _new_folder(spark, "blocks"), DOC_WEIGHTS, stemmed=False, fold=False)
+    index.add(records(spark, sf_dir).select(F.col("id").alias("entry_id"), F.col("doc_id").alias("seq"), *DOC_WEIGHTS), 1)
+    found = index.search(BLOCK_TERMS, 20)
+    return spark.createDataFrame([(i, score) for i, _, score in found.hits], "id string, score double").withColumn("score", F.round("score", 6))
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share, from spark.checkpoint.dir; a local session without one gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="wrenfold-")
+    return f"{folder.rstrip('/')}/wrenfold/{name}-{uuid.uuid4().hex}"
 
 
 # ---- vectors
@@ -394,11 +435,17 @@ fused AS (SELECT id, keyword_rank, semantic_rank, coalesce(1.0 / (20.0 + keyword
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, vector: bool, **options: object) -> DataFrame:
-    rows = _with_vectors(spark, sf_dir)
-    plain = records(spark, sf_dir)
-    found = lexical.postings(plain, tuple(DOC_WEIGHTS), stemmed=False, fold=False)
-    total, mean = lexical.sizes(plain, tuple(DOC_WEIGHTS))
-    return fusion.hybrid(rows, found, PLAIN_TERMS, DOC_WEIGHTS, total, mean, _vector(spark, sf_dir, 0) if vector else None, **options)
+    rows = records(spark, sf_dir)
+    found = lexical.postings(rows, tuple(DOC_WEIGHTS), stemmed=False, fold=False, terms=PLAIN_TERMS)
+    total, mean = lexical.sizes(rows, tuple(DOC_WEIGHTS))
+    return fusion.hybrid(rows, found, PLAIN_TERMS, DOC_WEIGHTS, total, mean, _vector(spark, sf_dir, 0) if vector else None, vectors=_record_vectors(spark, sf_dir), **options)
+
+
+def _record_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding) of the records that have a vector, with nothing else of them."""
+    held = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    return found.join(held, "id", "left_semi")
 
 
 def _hits(found: DataFrame) -> DataFrame:
@@ -409,7 +456,7 @@ def _hits(found: DataFrame) -> DataFrame:
 @query(f"{_HYBRID_SQL} SELECT id, keyword_rank, semantic_rank, round(s, 6) AS score FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyword = fusion.ranked(lexical.top(_bm25(spark, sf_dir, DOC_WEIGHTS, PLAIN_TERMS), 50), "keyword", False)
-    semantic = fusion.ranked(similarity.vector_top(_with_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 50), "semantic", True)
+    semantic = fusion.ranked(similarity.vector_top(_record_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 50), "semantic", True)
     return fusion.fuse(keyword, semantic).select("id", F.col("keyword_rank").cast("long"), F.col("semantic_rank").cast("long"), F.round("score", 6).alias("score"))
 
 
@@ -430,7 +477,37 @@ def lexical_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_HYBRID_SQL} SELECT (SELECT count(*) FROM lex) + (SELECT count(*) FROM sem) AS candidate_count")
 def hybrid_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyword = lexical.top(_bm25(spark, sf_dir, DOC_WEIGHTS, PLAIN_TERMS), 50)
-    return fusion.candidate_count(keyword, similarity.vector_top(_with_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 50))
+    return fusion.candidate_count(keyword, similarity.vector_top(_record_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 50))
+
+
+# ---- a store
+
+_SAVES_SQL = """saves AS (
+  SELECT doc_id AS seq, 'about ' || lang AS title, 'doc ' || md5(coalesce(text, '')) AS content, 'seen in <' || source || '>' AS verification, [lang, source] AS tags,
+    CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE 'k' || doc_id % 97 END AS key FROM documents
+)"""
+
+
+@query(f"""WITH {_SAVES_SQL}, n AS (SELECT key, count(*) AS n, arg_max(title, seq) AS title, arg_max(content, seq) AS content FROM saves GROUP BY key),
+proof AS (SELECT key, string_agg(verification, chr(10) || '---' || chr(10) || 'Additional verification: ' ORDER BY seq) AS verification
+  FROM (SELECT key, verification, min(seq) AS seq FROM saves GROUP BY key, verification) GROUP BY key),
+tag AS (SELECT key, string_agg(tag, ',' ORDER BY seq, i) AS tags FROM (SELECT key, tag, min(seq) AS seq, arg_min(i, seq) AS i
+  FROM (SELECT key, seq, unnest(tags) AS tag, unnest([1, 2]) AS i FROM saves) GROUP BY key, tag) GROUP BY key)
+SELECT key AS dedup_key, title, content, verification, tags, n - 1 AS revisions FROM n JOIN proof USING (key) JOIN tag USING (key)""")
+def store_batch_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents saved as one batch, a third of them under one key; the records and their numbers of revisions."""
+    kb = store.KnowledgeStore(spark, _new_folder(spark, "store"), embed=None)
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents")
+    kb.save(docs.select(
+        i.alias("seq"), F.concat(F.lit("about "), "lang").alias("title"), F.lit("workflow").alias("kind"), F.col("lang").alias("context"),
+        F.concat(F.lit("doc "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("content"), F.format_string("seen in <%s>", "source").alias("verification"),
+        F.array("lang", "source").alias("tags"), none.alias("project_scope"), none.alias("entry_id"),
+        F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (i % 97).cast("string"))).alias("dedup_key"),
+    ))
+    revisions = versions.history(kb.log()).groupBy("id").agg(F.count(F.lit(1)).alias("revisions"))
+    found = kb.current().join(revisions, "id", "left")
+    return found.select("dedup_key", "title", "content", "verification", F.array_join("tags", ",").alias("tags"), F.coalesce("revisions", F.lit(0)).cast("long").alias("revisions"))
 
 
 # ---- versions
@@ -487,11 +564,13 @@ def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RECORDS_SQL}, g AS (SELECT project_scope, count(*) AS n FROM rec GROUP BY project_scope)
-SELECT coalesce(project_scope, 'global') AS scope, n, (SELECT count(*) FROM rec) AS total_entries FROM g""")
+SELECT coalesce(project_scope, 'global') AS scope, n, (SELECT count(*) FROM rec) AS total_entries, (SELECT count(*) - count(DISTINCT conv_id) FROM conversations) AS total_history_revisions,
+EXISTS (SELECT 1 FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS semantic_active FROM g""")
 def stats_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir).withColumn("embedding", F.array().cast("array<float>"))
-    one = store.stats(rows, rows.limit(0))
-    return one.select("total_entries", F.inline("projects")).select("scope", "n", "total_entries")
+    """Documents as entries, with the vectors that they have, and all but the first turns of conversations as revisions."""
+    one = store.stats(_with_vectors(spark, sf_dir), versions.history(_log(spark, sf_dir)))
+    others = ["total_entries", "total_history_revisions", "semantic_active"]
+    return one.select(*others, F.inline("projects")).select("scope", "n", *others)
 
 
 @query(f"WITH {RECORDS_SQL} SELECT id, title, coalesce(project_scope, 'global') AS scope, substr(content, 1, 120) AS head FROM rec ORDER BY doc_id DESC LIMIT 20")
