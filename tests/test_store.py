@@ -144,6 +144,29 @@ def test_search_carries_no_texts(spark, tmp_path):
     assert store.search("lock", limit=4, scope="zz").count() == 0
 
 
+def test_counts_by_increments(spark, tmp_path):
+    """Counts that batches add up to equal those of the whole log, after merges, moves between scopes and deletes."""
+    from wrenfold.operators import store as module
+    from wrenfold.operators import versions
+
+    kb = KnowledgeStore(spark, f"file://{tmp_path}/kb", embed=lambda t: F.when(t.contains("plain"), F.array().cast("array<float>")).otherwise(F.array(F.lit(1.0).cast("float"))))
+    assert kb.stats().first()["total_entries"] == 0
+    row = lambda k, scope, **more: {"title": f"t{k}", "content": "plain" if k % 2 else "x", "project_scope": scope, "dedup_key": f"k{k}", **more}
+    got = save(spark, kb, row(1, "a"), row(3, "a"), row(4, None), row(5, "global"), row(3, "b"))
+    save(spark, kb, row(1, "c", entry_id=got[0]["entry_id"]), row(7, "a"), row(7, "a"))
+    kb.delete([got[1]["entry_id"], got[2]["entry_id"]])
+    save(spark, kb, row(3, "a"))
+    want = module.stats(kb.current(vectors=True), versions.history(kb.log())).first().asDict(recursive=True)
+    have = kb.stats().first().asDict(recursive=True)
+    assert have == want and have["total_entries"] == 4 and have["total_history_revisions"] == 3
+    plan = kb.stats()._jdf.queryExecution().toString()
+    assert "content" not in plan and "title" not in plan
+    # point reads: filters reach the scan of the log, and a key finds whoever holds it now
+    assert kb.get_by_key("k3").count() == 1 and kb.get_by_key("k4").count() == 0 and kb.get_by_key("nobody").count() == 0
+    plan = kb.get(got[0]["entry_id"])._jdf.queryExecution().toString()
+    assert "EqualTo(entry_id" in plan
+
+
 def test_unfinished_writes_are_unseen(spark, tmp_path):
     store = KnowledgeStore(spark, f"file://{tmp_path}/kb")
     save(spark, store, {"title": "one"})

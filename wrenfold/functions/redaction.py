@@ -48,6 +48,7 @@ VOLATILE: tuple[str, ...] = (
     r"/(?:tmp|var/folders)/[a-zA-Z0-9_\-\./]+",
     r":\b\d{4,5}\b",
 )
+#: Fixed value.
 SIGNATURE = r"(?i)\b(E\d{4}|TS\d{4,5}|CS\d{4}|ORA-\d{5}|SQLSTATE\s+[0-9A-Z]{5}|(?:TypeError|ValueError|KeyError|AttributeError|RuntimeError|NullPointerException|ConnectTimeoutException))\b"
 
 

@@ -1,4 +1,4 @@
-"""Records as Markdown, a column expression each."""
+"""Records as Markdown, a column expression each. The templates are fixed values: what users of such stores parse."""
 
 from __future__ import annotations
 

@@ -31,6 +31,7 @@ from wrenfold.schema import LIMITS, RANK_CONSTANT, RECORD, SCORE_FLOOR, VECTOR,
 
 LOG = StructType([StructField("entry_id", StringType()), StructField("seq", LongType()), StructField("op", StringType()), StructField("at", TimestampType()), *RECORD.fields, VECTOR, StructField("n_tokens", IntegerType()), StructField("source", StringType()), StructField("batch", IntegerType())])
 #: Columns of the log that are no part of a record.
+COUNTS = "project_scope string, n long, vectors long, revisions long"
 LOG_ONLY = ("entry_id", "seq", "op", "at", "n_tokens", "source", "batch")
 TEXTS = ("title", "context", "content", "verification")
 #: Folders that a dataset may not lie in. Fixed values.
@@ -97,7 +98,10 @@ class KnowledgeStore:
         last = self.log().agg(F.max("batch"), F.max("seq")).first()
         batch, seq = self._claim((last[0] or 0) + 1), last[1] or 0
         rows = writes.withColumns({"seq": F.col("seq") + F.lit(seq + 1), "n_tokens": lexical.length(writes, tuple(WEIGHTS)), "source": F.lit(source)})
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields if f.name != "batch"]).write.parquet(f"{self.root}/log/batch={batch}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields if f.name != "batch"]).sortWithinPartitions("entry_id", "seq")
+        # Bloom filters and the order let point reads skip row groups
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("entry_id", "dedup_key")}
+        rows.write.options(**blooms).parquet(f"{self.root}/log/batch={batch}")
         self.index_missing()
 
     def index(self) -> BlockIndex:
@@ -110,16 +114,31 @@ class KnowledgeStore:
         for batch in missing:
             log = self.log()
             new = log.where(F.col("batch") == batch)
-            narrow = log.select("entry_id", "seq", "op", "batch")
+            narrow = log.select("entry_id", "seq", "op", "batch", "project_scope", (F.size("embedding") > 0).cast("long").alias("vectors"))
             # what the batch replaces or deletes: rows that were current before it, and its own but the last of an entry
-            before = versions.live(narrow.where(F.col("batch") < batch))
+            before = versions.live(narrow.where(F.col("batch") < batch), "project_scope", "vectors")
             last = narrow.where(F.col("batch") == batch).groupBy("entry_id").agg(F.max("seq").alias("last"))
-            gone = before.join(last, "entry_id", "left_semi").select("entry_id", "seq")
+            before = before.join(last, "entry_id", "left_semi")
+            self._count(narrow, before, batch)
+            gone = before.select("entry_id", "seq")
             own = narrow.where(F.col("batch") == batch).join(last, "entry_id").where("seq < last").select("entry_id", "seq")
             index.add(new.where("op <> 'delete'"), batch, gone.unionByName(own))
         if missing:
             index.compact()
 
+    def _count(self, narrow: DataFrame, before: DataFrame, batch: int) -> None:
+        """Writes what a batch adds to the counts by scope, and to the number of revisions."""
+        new = narrow.where(F.col("batch") == batch)
+        after = versions.live(new, "project_scope", "vectors").select("project_scope", "vectors", F.lit(1).alias("n"))
+        less = before.select("project_scope", (-F.col("vectors")).alias("vectors"), F.lit(-1).alias("n"))
+        scopes = after.unionByName(less).groupBy("project_scope").agg(F.sum("n").alias("n"), F.sum("vectors").alias("vectors"))
+        # every state of an entry but its first overwrote one
+        states = new.where("op <> 'delete'").select("entry_id")
+        first = states.distinct().join(narrow.where((F.col("batch") < batch) & (F.col("op") != "delete")).select("entry_id"), "entry_id", "left_anti")
+        both = states.select(F.lit(1).alias("r")).unionByName(first.select(F.lit(-1).alias("r"))).agg(F.coalesce(F.sum("r"), F.lit(0)).alias("revisions"))
+        rows = scopes.withColumn("revisions", F.lit(0).cast("long")).unionByName(both, allowMissingColumns=True)
+        rows.select(*[F.col(c).cast(t) for c, t in (f.split() for f in COUNTS.split(", "))]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/counts/batch={batch}")
+
     # reads
 
     def current(self, vectors: bool = False) -> DataFrame:
@@ -141,7 +160,13 @@ class KnowledgeStore:
         return found if vectors else found.drop("embedding")
 
     def get_by_key(self, key: str) -> DataFrame:
-        return self.current().where(F.col("dedup_key") == key)
+        """The record that holds a key: its entry is found by the key's Bloom filters, and read by the entry's."""
+        log = self.log().drop("embedding")
+        held = log.where(F.col("dedup_key") == key).select("entry_id").distinct()
+        some = [r["entry_id"] for r in held.limit(101).collect()]
+        # a key that more entries have held is found by a join
+        rows = log.where(F.col("entry_id").isin(some)) if len(some) <= 100 else log.join(held, "entry_id", "left_semi")
+        return versions.current(rows).drop(*LOG_ONLY).where(F.col("dedup_key") == key)
 
     def history(self, entry_id: str) -> DataFrame:
         return versions.history(self.log().where(F.col("entry_id") == entry_id)).drop("n_tokens", "source").orderBy(F.desc("version"))
@@ -158,7 +183,12 @@ class KnowledgeStore:
         return self.all().limit(n)
 
     def stats(self) -> DataFrame:
-        return stats(self.current(vectors=True), versions.history(self.log()))
+        """As stats(), summed from what each batch has added."""
+        self.index_missing()
+        found = [f"{self.root}/counts/batch={b}" for b in self._batches("log")]
+        rows = self.spark.read.schema(COUNTS).parquet(*found) if found else self.spark.createDataFrame([], COUNTS)
+        by_scope = rows.where("n is not null").groupBy("project_scope").agg(F.sum("n").alias("n"), F.sum("vectors").alias("vectors")).where("n > 0")
+        return _report(by_scope, rows.agg(F.coalesce(F.sum("revisions"), F.lit(0)).alias("total_history_revisions")))
 
     def search(self, query: str, limit: int = 5, scope: str | None = None, tags: list[str] = [], prefilter: bool = False) -> DataFrame:  # noqa: B006
         """The `limit` (1 to 50) best records for a query; scope, tags and prefilter as in fusion.hybrid."""
@@ -349,6 +379,10 @@ def stats(records: DataFrame, revisions: DataFrame) -> DataFrame:
     Scopes are counted before null is called global, so a scope of that name is a pair of its own.
     """
     by_scope = records.groupBy("project_scope").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("embedding") > 0).alias("vectors"))
+    return _report(by_scope, revisions.agg(F.count(F.lit(1)).alias("total_history_revisions")))
+
+
+def _report(by_scope: DataFrame, revisions: DataFrame) -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), F.coalesce("project_scope", F.lit("global")).alias("scope"), "n")))
     one = by_scope.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_entries"), F.transform(pairs, lambda p: F.struct(p["scope"], p["n"])).alias("projects"), (F.coalesce(F.sum("vectors"), F.lit(0)) > 0).alias("semantic_active"))
-    return one.withColumn("total_history_revisions", F.lit(revisions.count()).cast("long"))
+    return one.join(revisions)  # a row each

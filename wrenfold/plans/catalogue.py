@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -496,6 +497,24 @@ tag AS (SELECT key, string_agg(tag, ',' ORDER BY seq, i) AS tags FROM (SELECT ke
 SELECT key AS dedup_key, title, content, verification, tags, n - 1 AS revisions FROM n JOIN proof USING (key) JOIN tag USING (key)""")
 def store_batch_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents saved as one batch, a third of them under one key; the records and their numbers of revisions."""
+    kb = _saved(spark, sf_dir)
+    revisions = versions.history(kb.log()).groupBy("id").agg(F.count(F.lit(1)).alias("revisions"))
+    found = kb.current().join(revisions, "id", "left")
+    return found.select("dedup_key", "title", "content", "verification", F.array_join("tags", ",").alias("tags"), F.coalesce("revisions", F.lit(0)).cast("long").alias("revisions"))
+
+
+@query(f"""WITH {_SAVES_SQL} SELECT key AS dedup_key, arg_max(title, seq) AS title, arg_max(content, seq) AS content, (SELECT count(*) - count(DISTINCT key) FROM saves) AS total_revisions
+FROM saves WHERE key IN ('hot', 'k5', 'k96') GROUP BY key""")
+def store_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three records by key, read again by id, and the store's number of revisions; one further key is held by none."""
+    kb = _saved(spark, sf_dir)
+    found = [r["id"] for key in ("hot", "k5", "k96", "k97") for r in kb.get_by_key(key).select("id").collect()]
+    rows = reduce(DataFrame.unionByName, [kb.get(i) for i in found])
+    return rows.join(kb.stats()).select("dedup_key", "title", "content", F.col("total_history_revisions").alias("total_revisions"))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> store.KnowledgeStore:
+    """A store in a new folder with all documents saved as one batch."""
     kb = store.KnowledgeStore(spark, _new_folder(spark, "store"), embed=None)
     i, none = F.col("doc_id"), F.lit(None).cast("string")
     docs = table(spark, sf_dir, "documents")
@@ -505,9 +524,7 @@ def store_batch_save(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("lang", "source").alias("tags"), none.alias("project_scope"), none.alias("entry_id"),
         F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (i % 97).cast("string"))).alias("dedup_key"),
     ))
-    revisions = versions.history(kb.log()).groupBy("id").agg(F.count(F.lit(1)).alias("revisions"))
-    found = kb.current().join(revisions, "id", "left")
-    return found.select("dedup_key", "title", "content", "verification", F.array_join("tags", ",").alias("tags"), F.coalesce("revisions", F.lit(0)).cast("long").alias("revisions"))
+    return kb
 
 
 # ---- versions
