@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow.fs as fs
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -137,7 +138,8 @@ def test_token_files(spark, tmp_path):
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".draft")]
     got = sorted(token_files.read(listing).collect(), key=lambda r: r["start"])
     model = Tokenizer.from_file(WORD)
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    hashed = lambda t: int(np.uint64(42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]), r[1] or ""))
     at = 0
     for r, (doc_id, text) in zip(got, want, strict=True):
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
@@ -168,6 +170,16 @@ def test_token_files(spark, tmp_path):
     assert zstandard.ZstdDecompressor().decompressobj().decompress(bytes(reader._at(0, int(reader.packed_at[1])))) == plain[: int(reader.plain_at[1])]
 
 
+def test_a_hot_id_is_many_files(spark, tmp_path):
+    rows = [(7, f"text {k} " * 5) for k in range(600)] + [(7, "the same")] * 600 + [(k, "other") for k in range(100)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, file string").repartition(6)
+    listing = token_files.write(df, f"file://{tmp_path}/hot", WORD, end_id=2, files=8)
+    assert listing.agg(F.max("docs")).first()[0] < 500
+    got = token_files.read(listing).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows)
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(token_files.write(empty, f"file://{tmp_path}/none", WORD)).count() == 0

@@ -187,11 +187,12 @@ def write(
                 {"file": pa.array([context.partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "docs": pa.array([n], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())}
             )
 
-    key = F.col("doc_id").asc_nulls_first()
+    # rows of one id are dealt by their texts' hashes, and equal ones by where they come from, so a hot id is many files
+    key, hashed = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(files, key)
-        .sortWithinPartitions(key, "text")
+        .repartitionByRange(files, key, hashed, F.spark_partition_id())
+        .sortWithinPartitions(key, hashed, "text")
         .mapInArrow(run, "file int, path string, docs long, tokens long")
         .collect()  # a row for each file
     )
