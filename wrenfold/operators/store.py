@@ -2,9 +2,9 @@
 
 A write appends one folder of Parquet to the log under a number that it claims by making a file that must be new, so
 the second of two writers takes the next one. Readers see the folders that are written to their end, and no other; the
-state is a plan over them. The keyword index (`blocks`) has a segment for each write, made after it, and merges them; a
-search or write first indexes what a writer that stopped has left out. A search carries numbers, scopes and tags, and
-reads texts for its winners alone.
+state is a plan over them. The keyword index (`blocks`), the vector index (`vector_blocks`) and the counts have a part
+for each write, made after it; a search or write first makes what a writer that stopped has left out. A search carries
+numbers, scopes and tags, and reads texts for its winners alone.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from wrenfold.functions.redaction import redact
 from wrenfold.functions.textops import bounded, clean_tags, dedup_key, embed_text, has_all_tags, head_bytes, kind_or
-from wrenfold.functions.vectors import bucket_embedding, dot
+from wrenfold.functions.vectors import bucket_embedding
 from wrenfold.functions import render
 from wrenfold.operators import batches, fusion, lexical, versions
 from wrenfold.operators.blocks import BlockIndex
+from wrenfold.operators.vector_blocks import VectorIndex
 from wrenfold.sources.records import export_array, export_lines, imported
 from wrenfold.schema import LIMITS, RANK_CONSTANT, RECORD, SCORE_FLOOR, VECTOR, WEIGHTS
 
@@ -107,10 +108,14 @@ class KnowledgeStore:
     def index(self) -> BlockIndex:
         return BlockIndex(self.spark, f"{self.root}/index", WEIGHTS)
 
+    def vectors(self) -> VectorIndex:
+        return VectorIndex(self.spark, f"{self.root}/vectors")
+
     def index_missing(self) -> None:
         """Indexes the folders of the log that no segment covers, and merges segments."""
-        index = self.index()
-        missing = sorted(set(self._batches("log")) - set(index.batches()))
+        index, vectors = self.index(), self.vectors()
+        held, kept = set(index.batches()), set(vectors.batches())
+        missing = sorted(set(self._batches("log")) - (held & kept))
         for batch in missing:
             log = self.log()
             new = log.where(F.col("batch") == batch)
@@ -122,7 +127,11 @@ class KnowledgeStore:
             self._count(narrow, before, batch)
             gone = before.select("entry_id", "seq")
             own = narrow.where(F.col("batch") == batch).join(last, "entry_id").where("seq < last").select("entry_id", "seq")
-            index.add(new.where("op <> 'delete'"), batch, gone.unionByName(own))
+            gone = gone.unionByName(own)
+            if batch not in kept:
+                vectors.add(new.where("op <> 'delete'"), batch, gone)
+            if batch not in held:
+                index.add(new.where("op <> 'delete'"), batch, gone)
         if missing:
             index.compact()
 
@@ -211,9 +220,9 @@ class KnowledgeStore:
         found = self.index().search(lexical.terms_of(self.spark, query), k)
         keyword = {i: (rank, score, seq) for rank, (i, seq, score) in enumerate(found.hits, 1)}
         report |= {"keyword_ms": lap(), "blocks": found.blocks, "scored_blocks": found.scored_blocks}
-        near = self._nearest(vector, k, scope, tags).collect() if vector else []
-        semantic = {r["id"]: (rank, r["score"], r["seq"]) for rank, r in enumerate(near, 1)}
-        report |= {"vector_ms": lap(), "candidate_count": len(keyword) + len(semantic)}
+        near = self.vectors().search(vector or [], k, SCORE_FLOOR, scope, tags)
+        semantic = {i: (rank, score, seq) for rank, (i, seq, score) in enumerate(near.hits, 1)}
+        report |= {"vector_ms": lap(), "vector_blocks": near.blocks, "scored_vector_blocks": near.scored_blocks, "candidate_count": len(keyword) + len(semantic)}
 
         scores = {i: sum(1.0 / (RANK_CONSTANT + side[i][0]) for side in (keyword, semantic) if i in side) for i in keyword.keys() | semantic.keys()}
         order = sorted(scores, key=lambda i: (-scores[i], i))
@@ -238,20 +247,6 @@ class KnowledgeStore:
         report["fusion_ms"] = lap()
         return records.join(F.broadcast(won), ["entry_id", "seq"]).drop("entry_id", "seq"), report
 
-    def _nearest(self, vector: list[float], k: int, scope: str | None, tags: list[str]) -> DataFrame:
-        """(id, seq, score) of the k current records of the largest inner product, at least the floor.
-
-        Every row is scored in the scan; its score, not its vector, goes on to find out which is the current one.
-        """
-        asked = F.array(*[F.lit(float(x)) for x in vector])
-        score = F.when(F.size("embedding") == len(vector), dot(F.col("embedding"), asked)).alias("score")
-        rows = versions.live(self.log().select("entry_id", "seq", "op", "project_scope", "tags", score), "project_scope", "tags", "score").where("score is not null")
-        if scope is not None:
-            rows = rows.where(F.col("project_scope") == scope)
-        if tags:
-            rows = rows.where(has_all_tags(F.col("tags"), tags))
-        return rows.select(F.col("entry_id").alias("id"), "seq", "score").orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= SCORE_FLOOR)
-
     # writes
 
     def save(self, saves: DataFrame, at: Column | None = None, source: str | None = None) -> DataFrame:
