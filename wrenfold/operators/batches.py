@@ -9,8 +9,8 @@ entry, the holder of a key, vectors near each other), and each component is gone
 of key, scope, name and vectors, in which saves of one key that follow one another are one row. Near vectors are found
 block by block, and each block pair returns a spanning forest, not its pairs.
 
-Folding. An entry's saves become log rows, each the state after it. Saves lie in ranges of (entry, seq) of about
-PART bytes, so an entry with half of a batch is many ranges. What a range does to a state that is not known yet is
+Folding. An entry's saves become log rows, each the state after it. Saves lie in ranges of (entry, seq) of up
+to SAVES saves, so an entry with half of a batch is many ranges. What a range does to a state that is not known yet is
 itself a narrow state (the last title, texts, scope and key, the tags, the evidence in order): these are run through
 for the entries of several ranges, which gives each range the state it starts from; then all ranges are folded at once.
 
@@ -31,8 +31,9 @@ from wrenfold.functions.textops import merge_verification, strip, union_tags
 from wrenfold.operators import merge, similarity
 from wrenfold.schema import NEAR_DUPLICATE, RECORD
 
-#: Bytes of texts of a range, about.
-PART = 8 << 20
+#: Bytes of texts that a task of the dealing gets, about, and saves of a range: states are appended to an array, whose
+#: copies are as many as the square of the range.
+PART, SAVES = 8 << 20, 256
 #: Copies of a row a key to which a hot key's saves are dealt.
 SALTS = 16
 
@@ -267,7 +268,9 @@ def fold(plan: DataFrame, known: DataFrame, scratch: str, part_bytes: int = PART
     rows = incoming.select("entry_id", F.col("seq").cast("long").alias("seq"), "merged", F.struct(*_FIELDS).cast(_TYPE).alias("record"), F.col("embedding").cast("array<float>").alias("embedding"))
     size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("title", "context", "content", "verification")])
     bytes_ = plan.agg(F.sum(size + 200)).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-bytes_ // part_bytes)), "entry_id", "seq").withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(max(1, -(-bytes_ // part_bytes)), "entry_id", "seq").sortWithinPartitions("entry_id", "seq").withColumn("at", F.monotonically_increasing_id())
+    place = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / SAVES)
+    dealt = dealt.withColumn("part", (F.shiftrightunsigned("at", 33) * (1 << 25) + place).cast("long")).drop("at")
     dealt = _written(dealt, scratch, "dealt")  # the ranges are what is written here, whoever reads them
     ranges = dealt.groupBy("entry_id", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "merged", "record", "embedding"))).alias("saves"))
 
@@ -276,7 +279,7 @@ def fold(plan: DataFrame, known: DataFrame, scratch: str, part_bytes: int = PART
     several = spans.where("first < last").select("entry_id", "old")
     effects = ranges.join(several.select("entry_id"), "entry_id", "left_semi").select("entry_id", F.struct("part", _effect(F.col("saves")).alias("effect")).alias("e"))
     effects = effects.groupBy("entry_id").agg(F.sort_array(F.collect_list("e"), asc=True).alias("effects")).join(several, "entry_id")
-    begun = f"struct<part: int, old: {_TYPE}>"
+    begun = f"struct<part: bigint, old: {_TYPE}>"
     start = F.struct(F.col("old").alias("last"), F.array().cast(f"array<{begun}>").alias("out")).cast(f"struct<last: {_TYPE}, out: array<{begun}>>")
     step = lambda s, e: F.struct(_applied(s["last"], e["effect"]).alias("last"), F.concat(s["out"], F.array(F.struct(e["part"].alias("part"), s["last"].alias("old")).cast(begun))).alias("out"))
     carried = effects.select("entry_id", F.inline(F.aggregate("effects", start, step, lambda s: s["out"])))
