@@ -2,12 +2,13 @@
 
 Records are numbered in blocks of 64, so which of a block's records hold a token is one long of bits. A segment keeps
 
-    postings  (token, block, slot, n, f, places)    a row for each token of a record, sorted by token and block
-    blocks    (token, block, bits, f_max, n_min)    a row for each token of a block
+    blocks    (token, block, bits, f_max, n_min, slots, ns, fs, counts, places)    a row for each token of a block
     records   (entry_id, seq, block, slot, n)
-    stats     (records, tokens)                     one row
+    stats     (records, tokens)                                                    one row
 
-and `dead` keeps the slots of rows that later writes replaced or deleted. A search reads `blocks` for its terms: the
+in which the arrays hold an item for each record of the block that holds the token, and places those of all of them,
+one after another. The columns that a step does not name are not read: bounds leave the arrays, scores the places.
+`dead` keeps the slots of rows that later writes replaced or deleted. A search reads `blocks` for its terms: the
 bits, without the dead, give every term's exact number of records (a term that is the start of several tokens counts
 a record once, by OR), and f_max and n_min bound what a block's best record can score. Blocks are then scored in the
 order of their bounds, the first FIRST of them, then GROWTH times as many, until no bound reaches the k-th best score:
@@ -46,16 +47,21 @@ SLOTS = 64
 FIRST, GROWTH = 64, 8
 #: Segments of a size class that become one, and records from which a size class is left.
 FANOUT, SMALLEST = 4, 10_000
+#: Rows of an Arrow batch that a task sends back.
+SENT = 20_000
 #: A place is the column's number times this, plus the word's place in the column.
 COLUMN = 1 << 26
 
-POSTINGS = "token string, block long, slot int, n int, f double, places array<int>"
 BLOCKS = "token string, block long, bits long, f_max double, n_min int"
+HITS = f"{BLOCKS}, slots array<int>, ns array<int>, fs array<double>, counts array<int>, places array<int>"
 RECORDS = "entry_id string, seq long, block long, slot int, n int"
 DEAD = "segment string, block long, slot int, n int"
 _MADE = pa.schema(
-    [("what", pa.string()), ("token", pa.string()), ("block", pa.int64()), ("slot", pa.int32()), ("n", pa.int32()), ("f", pa.float64()), ("places", pa.list_(pa.int32())), ("entry_id", pa.string()), ("seq", pa.int64())]
+    [("what", pa.string()), ("token", pa.string()), ("block", pa.int64()), ("bits", pa.int64()), ("f_max", pa.float64()), ("n_min", pa.int32())]
+    + [(c, pa.list_(pa.float64() if c == "fs" else pa.int32())) for c in ("slots", "ns", "fs", "counts", "places")]
+    + [("entry_id", pa.string()), ("seq", pa.int64()), ("slot", pa.int32()), ("n", pa.int32())]
 )
+_MADE_SQL = f"what string, {HITS}, entry_id string, seq long, slot int, n int"
 
 
 @dataclass
@@ -69,8 +75,13 @@ class Search:
     scored_postings: int
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
 def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
-    """Numbers the records of a batch of rows, the shorter first, and makes their postings."""
+    """Numbers the records of each Arrow batch, the shorter first and from a new block on, and makes their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
@@ -78,13 +89,14 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
         base = (batch_no << 40) + (TaskContext.get().partitionId() << 24)
         factor = np.array(weights)
         for b in batches:
+            if not len(b):
+                continue
             words = [b.column(2 + c) for c in range(len(weights))]
-            sizes = np.stack([np.diff(w.offsets.to_numpy()) for w in words]) if len(b) else np.zeros((len(weights), 0), np.int64)
-            n = sizes.sum(axis=0)
+            sizes = np.stack([np.diff(w.offsets.to_numpy()) for w in words])
+            n = sizes.sum(axis=0).astype(np.int32)
             number = np.empty(len(b), np.int64)
-            number[np.argsort(n, kind="stable")] = at + np.arange(len(b))
-            at += len(b)
-            block, slot = base + number // SLOTS, (number % SLOTS).astype(np.int32)
+            order = np.argsort(n, kind="stable")
+            number[order] = np.arange(len(b))
             flat = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
             names = flat.dictionary.to_pylist()
             if stemmed:
@@ -96,22 +108,37 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
                 names = [known[w] for w in names]
             kinds = {w: k for k, w in enumerate(dict.fromkeys(names))}
             code = np.array([kinds[w] for w in names], np.int64)[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
-            row = np.concatenate([np.repeat(np.arange(len(b)), s) for s in sizes])
             col = np.repeat(np.arange(len(weights)), sizes.sum(axis=1))
-            place = col * COLUMN + np.concatenate([np.arange(len(x)) - np.repeat(np.cumsum(s) - s, s) for s, x in zip(sizes, [w.flatten() for w in words], strict=True)])
-            order = np.lexsort((place, code, row))
-            row, code, place, weight = row[order], code[order], place[order], factor[col[order]]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.empty(0, np.int64)
-            owner = row[first]
+            place = col * COLUMN + np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+            # places of a record and token come in their order, and the sort keeps it
+            key = code << 32 | np.concatenate([np.repeat(number, s) for s in sizes])
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            hit = _starts(key)
+            owner = key[hit] & 0xFFFFFFFF
+            row = _starts(key[hit] // SLOTS)
+            slot, lengths = (owner % SLOTS).astype(np.int32), n[order][owner]
+            f = np.add.reduceat(factor[col[by]], hit) if len(hit) else np.empty(0)
+            bits = np.left_shift(np.uint64(1), slot.astype(np.uint64))
+            fold = lambda how, x: how.reduceat(x, row) if len(row) else x
+            hits_to = np.append(row, len(hit)).astype(np.int32)
+            listed = lambda x, to=hits_to: pa.ListArray.from_arrays(pa.array(to), pa.array(x))
             made = {
-                "what": pa.array(["posting"] * len(first), pa.string()), "token": pa.array(list(kinds), pa.string()).take(pa.array(code[first])),
-                "block": pa.array(block[owner]), "slot": pa.array(slot[owner]), "n": pa.array(n[owner].astype(np.int32)),
-                "f": pa.array(np.add.reduceat(weight, first) if len(first) else weight),
-                "places": pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place.astype(np.int32))),
+                "what": pa.array(["block"] * len(row), pa.string()), "token": pa.array(list(kinds), pa.string()).take(pa.array(key[hit][row] >> 32)),
+                "block": pa.array(base + at + owner[row] // SLOTS), "bits": pa.array(fold(np.bitwise_or, bits).view(np.int64)),
+                "f_max": pa.array(fold(np.maximum, f)), "n_min": pa.array(fold(np.minimum, lengths)),
+                "slots": listed(slot), "ns": listed(lengths), "fs": listed(f), "counts": listed(np.diff(np.append(hit, len(key))).astype(np.int32)),
+                "places": listed(place[by].astype(np.int32), np.append(hit[row], len(key)).astype(np.int32)),
+            }
+            held = {
+                "what": pa.array(["record"] * len(b), pa.string()), "block": pa.array(base + at + number // SLOTS), "slot": pa.array((number % SLOTS).astype(np.int32)),
+                "n": pa.array(n), "entry_id": b.column(0), "seq": b.column(1),
             }
-            held = {"what": pa.array(["record"] * len(b), pa.string()), "block": pa.array(block), "slot": pa.array(slot), "n": pa.array(n.astype(np.int32)), "entry_id": b.column(0), "seq": b.column(1)}
-            for some, size in ((made, len(first)), (held, len(b))):
-                yield pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in _MADE], schema=_MADE)
+            at += -(-len(b) // SLOTS)
+            for some, size in ((made, len(row)), (held, len(b))):
+                full = pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in _MADE], schema=_MADE)
+                for start in range(0, size, SENT):
+                    yield full.slice(start, SENT)
 
     return run
 
@@ -176,12 +203,12 @@ class BlockIndex:
         kinds = dict(rows.dtypes)
         text = lambda c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c)
         words = [tokens(text(c), self.fold).alias(c) for c in self.weights]
-        made = rows.select("entry_id", F.col("seq").cast("long"), *words).mapInArrow(_maker(tuple(self.weights.values()), self.stemmed, batch), "what string, token string, block long, slot int, n int, f double, places array<int>, entry_id string, seq long")
+        made = rows.select("entry_id", F.col("seq").cast("long"), *words).mapInArrow(_maker(tuple(self.weights.values()), self.stemmed, batch), _MADE_SQL)
         draft = f"{self.root}/draft-{uuid.uuid4().hex}"
-        made.write.partitionBy("what").parquet(draft)
+        made.write.option("compression", "zstd").partitionBy("what").parquet(draft)
         staged = self.spark.read.schema(made.schema).parquet(draft)
         name = f"{batch}-{batch}"
-        self._write(name, staged.where("what = 'posting'"), staged.where("what = 'record'"))
+        self._write(name, staged.where("what = 'block'"), staged.where("what = 'record'"))
         at, fs = self._at(draft)
         fs.delete(at, True)
         if gone is not None:
@@ -196,13 +223,11 @@ class BlockIndex:
         found.select("segment", "block", "slot", "n").write.mode("overwrite").parquet(f"{self.root}/dead={batch}/slots")
         self._mark(f"dead={batch}")
 
-    def _write(self, name: str, postings: DataFrame, records: DataFrame) -> None:
+    def _write(self, name: str, blocks: DataFrame, records: DataFrame) -> None:
         folder = f"{self.root}/segment={name}"
-        columns = [c.split()[0] for c in POSTINGS.split(", ")]
-        postings.select(*columns).repartitionByRange("token", "block").sortWithinPartitions("token", "block", "slot").write.mode("overwrite").parquet(f"{folder}/postings")
-        kept = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-        blocks = kept.groupBy("token", "block").agg(F.bit_or(_bit()).alias("bits"), F.max("f").alias("f_max"), F.min("n").alias("n_min"))
-        blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
+        blocks = blocks.select(*[c.split()[0] for c in HITS.split(", ")])
+        # a range of a token is one of blocks, so a common token is many partitions
+        blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/blocks")
         rows = records.select(*[c.split()[0] for c in RECORDS.split(", ")])
         rows.repartitionByRange("block").sortWithinPartitions("block", "slot").write.mode("overwrite").parquet(f"{folder}/records")
         stats = self.spark.read.schema(RECORDS).parquet(f"{folder}/records").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
@@ -238,8 +263,14 @@ class BlockIndex:
         draft = f"{self.root}/draft-{uuid.uuid4().hex}"
         number.write.parquet(draft)
         number = self.spark.read.schema(number.schema).parquet(draft)
-        old = self._read("postings", POSTINGS, names).withColumnsRenamed({"block": "was", "slot": "was_slot"})
+        starts = F.expr("transform(counts, (c, i) -> slice(places, 1 + int(aggregate(slice(counts, 1, i), 0, (s, x) -> s + x)), c))")
+        old = self._read("blocks", HITS, names).select("token", F.col("block").alias("was"), F.inline(F.arrays_zip(F.col("slots").alias("was_slot"), F.col("ns").alias("n"), F.col("fs").alias("f"), starts.alias("places"))))
         moved = old.join(number.select("was", "was_slot", "block", "slot"), ["was", "was_slot"])
+        # at most SLOTS rows a group
+        hits = F.sort_array(F.collect_list(F.struct("slot", "n", "f", "places")))
+        moved = moved.groupBy("token", "block").agg(F.bit_or(_bit()).alias("bits"), F.max("f").alias("f_max"), F.min("n").alias("n_min"), hits.alias("hits"))
+        items = {"slots": F.col("hits.slot"), "ns": F.col("hits.n"), "fs": F.col("hits.f"), "counts": F.transform("hits.places", F.size), "places": F.flatten("hits.places")}
+        moved = moved.withColumns(items)
         self._write(f"{first}-{last}", moved, number)
         self._mark(f"segment={first}-{last}")
         for s in names:
@@ -275,7 +306,7 @@ class BlockIndex:
         which = F.filter(F.array(*[F.when(_matches(token, part, prefix), F.struct(F.lit(t).alias("term"), F.lit(j).alias("part"))) for t, j, part, prefix in slots]), lambda s: s.isNotNull())
         dead = self.dead(names).groupBy("block").agg(F.bit_or(_bit()).alias("dead"))
         alive = lambda rows: rows.join(dead, "block", "left").withColumn("dead", F.coalesce("dead", F.lit(0).cast("long")))
-        postings = self._read("postings", POSTINGS, names).where(wanted)
+        hits = self._read("blocks", HITS, names).where(wanted)
 
         found = self._read("blocks", BLOCKS, names).where(wanted).select("*", F.inline(which))
         parts = found.groupBy("block", "term", "part").agg(F.bit_or("bits").alias("bits"), F.sum("f_max").alias("f"), F.min("n_min").alias("n"), F.sum(F.bit_count("bits")).alias("rows"))
@@ -286,7 +317,7 @@ class BlockIndex:
         if long:
             meet = parts.where(F.col("term").isin(long)).groupBy("block", "term").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("parts"))
             meet = meet.where((F.col("parts") == F.get(F.array(*[F.lit(len(t.parts)) for t in terms]), F.col("term"))) & (F.col("bits") != 0)).select("block", "term", F.col("bits").alias("both"))
-            phrases = self._phrases(postings.select("*", F.inline(which)).join(meet, ["block", "term"]), terms).persist()
+            phrases = self._phrases(hits.select("block", "slots", "ns", "counts", "places", F.inline(which)).join(meet, ["block", "term"]), terms).persist()
             exact = phrases.groupBy("block", "term").agg(F.bit_or(_bit()).alias("bits"), F.max("f").alias("f"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))
             bounds = bounds.unionByName(exact)
         bounds = bounds.persist()
@@ -314,7 +345,7 @@ class BlockIndex:
             cut = left.orderBy(F.desc("most")).limit(size).agg(F.min("most")).first()[0]
             chosen = left.where(F.col("most") >= cut)
             b, r = chosen.agg(F.count(F.lit(1)), F.sum("rows")).first()
-            scored = self._scores(postings, phrases, chosen.select("block"), terms, which, share, alive, names)
+            scored = self._scores(hits, phrases, chosen.select("block"), terms, which, share, alive, names)
             best = sorted([*best, *map(tuple, scored.orderBy("score", "entry_id").limit(k).collect())], key=lambda x: (x[2], x[0]))[:k]
             done_blocks, done_rows, floor = done_blocks + b, done_rows + r, cut
             size = size if len(best) == k else size * GROWTH
@@ -325,19 +356,21 @@ class BlockIndex:
 
     def _phrases(self, hits: DataFrame, terms: list[Term]) -> DataFrame:
         """(block, slot, n, term, f) of the records in which the words of a phrase stand side by side."""
-        inside = F.expr("both & shiftleft(1L, slot)") != 0
-        each = hits.where(inside).select("block", "slot", "n", "term", "part", F.explode("places").alias("place"))
+        # slot and length beside each place
+        spread = lambda c: F.flatten(F.transform(F.arrays_zip(F.col(c).alias("x"), F.col("counts").alias("c")), lambda h: F.array_repeat(h["x"], h["c"])))
+        each = hits.select("block", "term", "part", "both", F.inline(F.arrays_zip(spread("slots").alias("slot"), spread("ns").alias("n"), F.col("places").alias("place"))))
+        each = each.where(F.expr("both & shiftleft(1L, slot)") != 0)
         starts = each.groupBy("block", "slot", "n", "term", (F.col("place") - F.col("part")).alias("at")).agg(F.count(F.lit(1)).alias("parts"))
         starts = starts.where(F.col("parts") == F.get(F.array(*[F.lit(len(t.parts)) for t in terms]), F.col("term")))
         weight = F.get(F.array(*[F.lit(float(w)) for w in self.weights.values()]), F.floor(F.col("at") / COLUMN).cast("int"))
         return starts.groupBy("block", "slot", "n", "term").agg(F.sum(weight).alias("f"))
 
-    def _scores(self, postings: DataFrame, phrases: DataFrame | None, chosen: DataFrame, terms: list[Term], which: Column, share: Column, alive, names: list[str]) -> DataFrame:
+    def _scores(self, hits: DataFrame, phrases: DataFrame | None, chosen: DataFrame, terms: list[Term], which: Column, share: Column, alive, names: list[str]) -> DataFrame:
         """(entry_id, seq, score) of the live records in the chosen blocks that hold a term."""
         one = [t for t, term in enumerate(terms) if len(term.parts) == 1]
-        rows = alive(postings.join(chosen, "block")).where(F.expr("dead & shiftleft(1L, slot)") == 0)
-        hits = rows.select("block", "slot", "n", "f", F.inline(which)).where(F.col("term").isin(one))
-        hits = hits.groupBy("block", "slot", "n", "term").agg(F.sum("f").alias("f"))
+        rows = alive(hits.select("token", "block", "slots", "ns", "fs").join(chosen, "block")).select("block", "slots", "ns", "fs", "dead", F.inline(which)).where(F.col("term").isin(one))
+        rows = rows.select("block", "term", "dead", F.inline(F.arrays_zip(F.col("slots").alias("slot"), F.col("ns").alias("n"), F.col("fs").alias("f")))).where(F.expr("dead & shiftleft(1L, slot)") == 0)
+        hits = rows.groupBy("block", "slot", "n", "term").agg(F.sum("f").alias("f"))
         if phrases is not None:
             hits = hits.unionByName(phrases.join(chosen, "block").select("block", "slot", "n", "term", "f"))
         # at most 24 terms, added in their order, so equal records score equally to the last bit
