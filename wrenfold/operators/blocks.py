@@ -2,13 +2,15 @@
 
 Records are numbered in blocks of 64, so which of a block's records hold a token is one long of bits. A segment keeps
 
-    blocks    (token, block, bits, f_max, n_min, slots, ns, fs, counts, places)    a row for each token of a block
+    blocks    (token, first, offs, bits, f_max, n_min, froms, ns, fs, places)    a row for each token of a group of blocks
     records   (entry_id, seq, block, slot, n)
-    stats     (records, tokens)                                                    one row
+    stats     (records, tokens)                                                  one row
 
-in which the arrays hold an item for each record of the block that holds the token, and places those of all of them,
-one after another. The columns that a step does not name are not read: bounds leave the arrays, scores the places.
-`dead` keeps the slots of rows that later writes replaced or deleted. A search reads `blocks` for its terms: the
+A row of `blocks` has an item for each block first + offs that holds the token, and from its place in froms on an item of
+ns, fs and places for each record there, in the order of bits. The columns that a step does not name are not read: bounds
+leave the latter three, scores the places. A task writes its rows sorted by token, so a lookup reads a few pages of each
+file and nothing is shuffled; merging segments sorts them across files.
+`dead` keeps`dead` keeps the slots of rows that later writes replaced or deleted. A search reads `blocks` for its terms: the
 bits, without the dead, give every term's exact number of records (a term that is the start of several tokens counts
 a record once, by OR), and f_max and n_min bound what a block's best record can score. Blocks are then scored in the
 order of their bounds, the first FIRST of them, then GROWTH times as many, until no bound reaches the k-th best score:
@@ -47,21 +49,21 @@ SLOTS = 64
 FIRST, GROWTH = 64, 8
 #: Segments of a size class that become one, and records from which a size class is left.
 FANOUT, SMALLEST = 4, 10_000
-#: Rows of an Arrow batch that a task sends back.
-SENT = 20_000
+#: Blocks of a group, tokens from which a task begins another group, and rows of an Arrow batch that it sends back.
+GROUP, HELD, SENT = 128, 1 << 22, 20_000
 #: A place is the column's number times this, plus the word's place in the column.
 COLUMN = 1 << 26
 
-BLOCKS = "token string, block long, bits long, f_max double, n_min int"
-HITS = f"{BLOCKS}, slots array<int>, ns array<int>, fs array<double>, counts array<int>, places array<int>"
+BOUNDS = "token string, first long, offs array<int>, bits array<long>, f_max array<double>, n_min array<int>"
+BLOCKS = f"{BOUNDS}, froms array<int>, ns array<int>, fs array<double>, places array<array<int>>"
 RECORDS = "entry_id string, seq long, block long, slot int, n int"
 DEAD = "segment string, block long, slot int, n int"
+_ITEMS = {"offs": pa.int32(), "bits": pa.int64(), "f_max": pa.float64(), "n_min": pa.int32(), "froms": pa.int32(), "ns": pa.int32(), "fs": pa.float64(), "places": pa.list_(pa.int32())}
 _MADE = pa.schema(
-    [("what", pa.string()), ("token", pa.string()), ("block", pa.int64()), ("bits", pa.int64()), ("f_max", pa.float64()), ("n_min", pa.int32())]
-    + [(c, pa.list_(pa.float64() if c == "fs" else pa.int32())) for c in ("slots", "ns", "fs", "counts", "places")]
-    + [("entry_id", pa.string()), ("seq", pa.int64()), ("slot", pa.int32()), ("n", pa.int32())]
+    [("kind", pa.string()), ("token", pa.string()), ("first", pa.int64()), *[(c, pa.list_(t)) for c, t in _ITEMS.items()]]
+    + [("entry_id", pa.string()), ("seq", pa.int64()), ("block", pa.int64()), ("slot", pa.int32()), ("n", pa.int32())]
 )
-_MADE_SQL = f"what string, {HITS}, entry_id string, seq long, slot int, n int"
+_MADE_SQL = f"kind string, {BLOCKS}, entry_id string, seq long, block long, slot int, n int"
 
 
 @dataclass
@@ -80,17 +82,26 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most GROUP * SLOTS records, and of HELD tokens if they are more than one."""
+    for b in batches:
+        ends = np.cumsum(sum(np.diff(b.column(2 + c).offsets.to_numpy()).astype(np.int64) for c in range(columns)))
+        at = 0
+        while at < len(b):
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right"))
+            to = min(len(b), at + GROUP * SLOTS, max(at + 1, most))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
-    """Numbers the records of each Arrow batch, the shorter first and from a new block on, and makes their rows."""
+    """Numbers the records of each group, the shorter first, and makes their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
-        at = 0
-        base = (batch_no << 40) + (TaskContext.get().partitionId() << 24)
+        at = (batch_no << 40) + (TaskContext.get().partitionId() << 24)
         factor = np.array(weights)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _groups(batches, len(weights)):
             words = [b.column(2 + c) for c in range(len(weights))]
             sizes = np.stack([np.diff(w.offsets.to_numpy()) for w in words])
             n = sizes.sum(axis=0).astype(np.int32)
@@ -114,28 +125,30 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
             key = code << 32 | np.concatenate([np.repeat(number, s) for s in sizes])
             by = np.argsort(key, kind="stable")
             key = key[by]
+            # where records, blocks and tokens begin: in the places, the records and the blocks
             hit = _starts(key)
             owner = key[hit] & 0xFFFFFFFF
-            row = _starts(key[hit] // SLOTS)
-            slot, lengths = (owner % SLOTS).astype(np.int32), n[order][owner]
+            block = _starts(key[hit] // SLOTS)
+            token = _starts(key[hit][block] >> 32)
+            lengths = n[order][owner]
             f = np.add.reduceat(factor[col[by]], hit) if len(hit) else np.empty(0)
-            bits = np.left_shift(np.uint64(1), slot.astype(np.uint64))
-            fold = lambda how, x: how.reduceat(x, row) if len(row) else x
-            hits_to = np.append(row, len(hit)).astype(np.int32)
-            listed = lambda x, to=hits_to: pa.ListArray.from_arrays(pa.array(to), pa.array(x))
-            made = {
-                "what": pa.array(["block"] * len(row), pa.string()), "token": pa.array(list(kinds), pa.string()).take(pa.array(key[hit][row] >> 32)),
-                "block": pa.array(base + at + owner[row] // SLOTS), "bits": pa.array(fold(np.bitwise_or, bits).view(np.int64)),
-                "f_max": pa.array(fold(np.maximum, f)), "n_min": pa.array(fold(np.minimum, lengths)),
-                "slots": listed(slot), "ns": listed(lengths), "fs": listed(f), "counts": listed(np.diff(np.append(hit, len(key))).astype(np.int32)),
-                "places": listed(place[by].astype(np.int32), np.append(hit[row], len(key)).astype(np.int32)),
+            fold = lambda how, x: how.reduceat(x, block) if len(block) else x
+            ends = lambda starts, size: pa.array(np.append(starts, size).astype(np.int32))
+            by_block, by_hit = ends(token, len(block)), ends(block[token], len(hit))
+            held_before = block - np.repeat(block[token], np.diff(np.append(token, len(block))))
+            listed = {
+                "offs": (by_block, (owner[block] // SLOTS).astype(np.int32)), "bits": (by_block, fold(np.bitwise_or, np.left_shift(np.uint64(1), (owner % SLOTS).astype(np.uint64))).view(np.int64)),
+                "f_max": (by_block, fold(np.maximum, f)), "n_min": (by_block, fold(np.minimum, lengths)), "froms": (by_block, held_before.astype(np.int32)),
+                "ns": (by_hit, lengths), "fs": (by_hit, f), "places": (by_hit, pa.ListArray.from_arrays(ends(hit, len(key)), pa.array(place[by].astype(np.int32)))),
             }
+            made = {c: pa.ListArray.from_arrays(to, x if isinstance(x, pa.Array) else pa.array(x)) for c, (to, x) in listed.items()}
+            made |= {"kind": pa.array(["blocks"] * len(token), pa.string()), "token": pa.array(list(kinds), pa.string()).take(pa.array(key[hit][block][token] >> 32)), "first": pa.array(np.full(len(token), at))}
             held = {
-                "what": pa.array(["record"] * len(b), pa.string()), "block": pa.array(base + at + number // SLOTS), "slot": pa.array((number % SLOTS).astype(np.int32)),
+                "kind": pa.array(["records"] * len(b), pa.string()), "block": pa.array(at + number // SLOTS), "slot": pa.array((number % SLOTS).astype(np.int32)),
                 "n": pa.array(n), "entry_id": b.column(0), "seq": b.column(1),
             }
             at += -(-len(b) // SLOTS)
-            for some, size in ((made, len(row)), (held, len(b))):
+            for some, size in ((made, len(token)), (held, len(b))):
                 full = pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in _MADE], schema=_MADE)
                 for start in range(0, size, SENT):
                     yield full.slice(start, SENT)
@@ -143,6 +156,19 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
     return run
 
 
+def _by_block(rows: DataFrame, *hits: str) -> DataFrame:
+    """(token, block, bits, and each block's part of the named columns)."""
+    held = lambda i: F.bit_count(F.get("bits", i)).cast("int")
+    part = lambda c, i: F.slice(F.col(c), F.get("froms", i) + 1, held(i)).alias(c)
+    return rows.select("token", F.inline(F.transform("offs", lambda o, i: F.struct((F.col("first") + o).alias("block"), F.get("bits", i).alias("bits"), *[part(c, i) for c in hits]))))
+
+
+def _by_hit(**items: str) -> Column:
+    """A row for each record of a block: its slot, and items of other columns under the names given."""
+    slots = F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.call_function("getbit", F.col("bits"), s) == 1)
+    return F.inline(F.arrays_zip(slots.alias("slot"), *[F.col(c).alias(a) for a, c in items.items()]))
+
+
 def _bit(slot: str = "slot") -> Column:
     return F.expr(f"shiftleft(1L, {slot})")
 
@@ -186,7 +212,7 @@ class BlockIndex:
         return [b for s in self.segments() for b in range(int(s.split("-")[0]), int(s.split("-")[1]) + 1)]
 
     def _read(self, kind: str, schema: str, segments: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/segment={s}/{kind}") for s in segments]
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/segment={s}/kind={kind}") for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def dead(self, segments: list[str] | None = None) -> DataFrame:
@@ -204,13 +230,11 @@ class BlockIndex:
         text = lambda c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c)
         words = [tokens(text(c), self.fold).alias(c) for c in self.weights]
         made = rows.select("entry_id", F.col("seq").cast("long"), *words).mapInArrow(_maker(tuple(self.weights.values()), self.stemmed, batch), _MADE_SQL)
-        draft = f"{self.root}/draft-{uuid.uuid4().hex}"
-        made.write.option("compression", "zstd").partitionBy("what").parquet(draft)
-        staged = self.spark.read.schema(made.schema).parquet(draft)
         name = f"{batch}-{batch}"
-        self._write(name, staged.where("what = 'block'"), staged.where("what = 'record'"))
-        at, fs = self._at(draft)
-        fs.delete(at, True)
+        folder = f"{self.root}/segment={name}"
+        # both kinds in one pass; the sort is within tasks
+        made.sortWithinPartitions("kind", "token", "first").write.option("compression", "zstd").mode("overwrite").partitionBy("kind").parquet(folder)
+        self._add_stats(folder)
         if gone is not None:
             self.bury(gone, batch)
         self._mark(f"segment={name}")
@@ -225,12 +249,20 @@ class BlockIndex:
 
     def _write(self, name: str, blocks: DataFrame, records: DataFrame) -> None:
         folder = f"{self.root}/segment={name}"
-        blocks = blocks.select(*[c.split()[0] for c in HITS.split(", ")])
-        # a range of a token is one of blocks, so a common token is many partitions
-        blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/blocks")
+        blocks = blocks.select(*[f.split()[0] for f in BLOCKS.split(", ")])
+        # a range of a token is one of groups, so a common token is many partitions
+        blocks.repartitionByRange("token", "first").sortWithinPartitions("token", "first").write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/kind=blocks")
         rows = records.select(*[c.split()[0] for c in RECORDS.split(", ")])
-        rows.repartitionByRange("block").sortWithinPartitions("block", "slot").write.mode("overwrite").parquet(f"{folder}/records")
-        stats = self.spark.read.schema(RECORDS).parquet(f"{folder}/records").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+        rows.repartitionByRange("block").sortWithinPartitions("block", "slot").write.mode("overwrite").parquet(f"{folder}/kind=records")
+        self._add_stats(folder)
+
+    def _add_stats(self, folder: str) -> None:
+        """One row; a kind without rows gets its folder."""
+        for kind, schema in (("blocks", BLOCKS), ("records", RECORDS)):
+            at, fs = self._at(f"{folder}/kind={kind}")
+            if not fs.exists(at):
+                self.spark.createDataFrame([], schema).write.parquet(f"{folder}/kind={kind}")
+        stats = self.spark.read.schema(RECORDS).parquet(f"{folder}/kind=records").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
         stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
     def compact(self) -> list[str]:
@@ -263,14 +295,18 @@ class BlockIndex:
         draft = f"{self.root}/draft-{uuid.uuid4().hex}"
         number.write.parquet(draft)
         number = self.spark.read.schema(number.schema).parquet(draft)
-        starts = F.expr("transform(counts, (c, i) -> slice(places, 1 + int(aggregate(slice(counts, 1, i), 0, (s, x) -> s + x)), c))")
-        old = self._read("blocks", HITS, names).select("token", F.col("block").alias("was"), F.inline(F.arrays_zip(F.col("slots").alias("was_slot"), F.col("ns").alias("n"), F.col("fs").alias("f"), starts.alias("places"))))
+        old = _by_block(self._read("blocks", BLOCKS, names), "ns", "fs", "places").select("token", F.col("block").alias("was"), _by_hit(n="ns", f="fs", places="places")).withColumnRenamed("slot", "was_slot")
         moved = old.join(number.select("was", "was_slot", "block", "slot"), ["was", "was_slot"])
-        # at most SLOTS rows a group
+        # a group has GROUP * SLOTS records at most, and both sums use one exchange
+        moved = moved.withColumn("first", F.col("block") - F.pmod("block", F.lit(GROUP))).repartition("token", "first")
         hits = F.sort_array(F.collect_list(F.struct("slot", "n", "f", "places")))
-        moved = moved.groupBy("token", "block").agg(F.bit_or(_bit()).alias("bits"), F.max("f").alias("f_max"), F.min("n").alias("n_min"), hits.alias("hits"))
-        items = {"slots": F.col("hits.slot"), "ns": F.col("hits.n"), "fs": F.col("hits.f"), "counts": F.transform("hits.places", F.size), "places": F.flatten("hits.places")}
-        moved = moved.withColumns(items)
+        moved = moved.groupBy("token", "first", "block").agg(F.bit_or(_bit()).alias("bits"), F.max("f").alias("f_max"), F.min("n").alias("n_min"), hits.alias("hits"))
+        each = F.struct((F.col("block") - F.col("first")).cast("int").alias("off"), "bits", "f_max", "n_min", "hits")
+        moved = moved.groupBy("token", "first").agg(F.sort_array(F.collect_list(each)).alias("b"))
+        items = {"offs": F.col("b.off"), **{c: F.col(f"b.{c}") for c in ("bits", "f_max", "n_min")}, "hits": F.flatten("b.hits")}
+        before = lambda b, i: F.aggregate(F.slice("bits", F.lit(1), i), F.lit(0), lambda s, x: s + F.bit_count(x).cast("int"))
+        moved = moved.select("token", "first", *[v.alias(c) for c, v in items.items()]).withColumn("froms", F.transform("bits", before))
+        moved = moved.withColumns({"ns": F.col("hits.n"), "fs": F.col("hits.f"), "places": F.col("hits.places")})
         self._write(f"{first}-{last}", moved, number)
         self._mark(f"segment={first}-{last}")
         for s in names:
@@ -306,9 +342,11 @@ class BlockIndex:
         which = F.filter(F.array(*[F.when(_matches(token, part, prefix), F.struct(F.lit(t).alias("term"), F.lit(j).alias("part"))) for t, j, part, prefix in slots]), lambda s: s.isNotNull())
         dead = self.dead(names).groupBy("block").agg(F.bit_or(_bit()).alias("dead"))
         alive = lambda rows: rows.join(dead, "block", "left").withColumn("dead", F.coalesce("dead", F.lit(0).cast("long")))
-        hits = self._read("blocks", HITS, names).where(wanted)
+        hits = self._read("blocks", BLOCKS, names).where(wanted)
 
-        found = self._read("blocks", BLOCKS, names).where(wanted).select("*", F.inline(which))
+        found = self._read("blocks", BOUNDS, names).where(wanted)
+        bound = lambda o, i: F.struct((F.col("first") + o).alias("block"), *[F.get(c, i).alias(c) for c in ("bits", "f_max", "n_min")])
+        found = found.select("token", F.inline(F.transform("offs", bound))).select("*", F.inline(which))
         parts = found.groupBy("block", "term", "part").agg(F.bit_or("bits").alias("bits"), F.sum("f_max").alias("f"), F.min("n_min").alias("n"), F.sum(F.bit_count("bits")).alias("rows"))
         parts = alive(parts).withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not("dead"))).where("bits <> 0").drop("dead")
         long = [t for t, term in enumerate(terms) if len(term.parts) > 1]
@@ -317,7 +355,7 @@ class BlockIndex:
         if long:
             meet = parts.where(F.col("term").isin(long)).groupBy("block", "term").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("parts"))
             meet = meet.where((F.col("parts") == F.get(F.array(*[F.lit(len(t.parts)) for t in terms]), F.col("term"))) & (F.col("bits") != 0)).select("block", "term", F.col("bits").alias("both"))
-            phrases = self._phrases(hits.select("block", "slots", "ns", "counts", "places", F.inline(which)).join(meet, ["block", "term"]), terms).persist()
+            phrases = self._phrases(_by_block(hits, "ns", "places").select("block", "bits", "ns", "places", F.inline(which)).join(meet, ["block", "term"]), terms).persist()
             exact = phrases.groupBy("block", "term").agg(F.bit_or(_bit()).alias("bits"), F.max("f").alias("f"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))
             bounds = bounds.unionByName(exact)
         bounds = bounds.persist()
@@ -356,10 +394,8 @@ class BlockIndex:
 
     def _phrases(self, hits: DataFrame, terms: list[Term]) -> DataFrame:
         """(block, slot, n, term, f) of the records in which the words of a phrase stand side by side."""
-        # slot and length beside each place
-        spread = lambda c: F.flatten(F.transform(F.arrays_zip(F.col(c).alias("x"), F.col("counts").alias("c")), lambda h: F.array_repeat(h["x"], h["c"])))
-        each = hits.select("block", "term", "part", "both", F.inline(F.arrays_zip(spread("slots").alias("slot"), spread("ns").alias("n"), F.col("places").alias("place"))))
-        each = each.where(F.expr("both & shiftleft(1L, slot)") != 0)
+        each = hits.select("block", "term", "part", "both", _by_hit(n="ns", places="places")).where(F.expr("both & shiftleft(1L, slot)") != 0)
+        each = each.select("block", "slot", "n", "term", "part", F.explode("places").alias("place"))
         starts = each.groupBy("block", "slot", "n", "term", (F.col("place") - F.col("part")).alias("at")).agg(F.count(F.lit(1)).alias("parts"))
         starts = starts.where(F.col("parts") == F.get(F.array(*[F.lit(len(t.parts)) for t in terms]), F.col("term")))
         weight = F.get(F.array(*[F.lit(float(w)) for w in self.weights.values()]), F.floor(F.col("at") / COLUMN).cast("int"))
@@ -368,8 +404,8 @@ class BlockIndex:
     def _scores(self, hits: DataFrame, phrases: DataFrame | None, chosen: DataFrame, terms: list[Term], which: Column, share: Column, alive, names: list[str]) -> DataFrame:
         """(entry_id, seq, score) of the live records in the chosen blocks that hold a term."""
         one = [t for t, term in enumerate(terms) if len(term.parts) == 1]
-        rows = alive(hits.select("token", "block", "slots", "ns", "fs").join(chosen, "block")).select("block", "slots", "ns", "fs", "dead", F.inline(which)).where(F.col("term").isin(one))
-        rows = rows.select("block", "term", "dead", F.inline(F.arrays_zip(F.col("slots").alias("slot"), F.col("ns").alias("n"), F.col("fs").alias("f")))).where(F.expr("dead & shiftleft(1L, slot)") == 0)
+        rows = alive(_by_block(hits, "ns", "fs").join(chosen, "block")).select("block", "bits", "ns", "fs", "dead", F.inline(which)).where(F.col("term").isin(one))
+        rows = rows.select("block", "term", "dead", _by_hit(n="ns", f="fs")).where(F.expr("dead & shiftleft(1L, slot)") == 0)
         hits = rows.groupBy("block", "slot", "n", "term").agg(F.sum("f").alias("f"))
         if phrases is not None:
             hits = hits.unionByName(phrases.join(chosen, "block").select("block", "slot", "n", "term", "f"))
