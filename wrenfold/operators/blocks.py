@@ -50,7 +50,7 @@ FIRST, GROWTH = 64, 8
 #: Segments of a size class that become one, and records from which a size class is left.
 FANOUT, SMALLEST = 4, 10_000
 #: Blocks of a group, tokens from which a task begins another group, and rows of an Arrow batch that it sends back.
-GROUP, HELD, SENT = 128, 1 << 22, 20_000
+GROUP, HELD, SENT = 128, 1 << 21, 20_000
 #: A place is the column's number times this, plus the word's place in the column.
 COLUMN = 1 << 26
 
@@ -118,20 +118,24 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
                         known[w] = stem(w)
                 names = [known[w] for w in names]
             kinds = {w: k for k, w in enumerate(dict.fromkeys(names))}
-            code = np.array([kinds[w] for w in names], np.int64)[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
-            col = np.repeat(np.arange(len(weights)), sizes.sum(axis=1))
-            place = col * COLUMN + np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+            key = np.array([kinds[w] for w in names], np.int64)[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
+            del flat
+            key <<= 32
+            key |= np.concatenate([np.repeat(number, s) for s in sizes])
+            col = np.repeat(np.arange(len(weights), dtype=np.int32), sizes.sum(axis=1))
+            place = np.concatenate([np.arange(s.sum(), dtype=np.int32) - np.repeat((np.cumsum(s) - s).astype(np.int32), s) for s in sizes])
+            place += col * COLUMN
             # places of a record and token come in their order, and the sort keeps it
-            key = code << 32 | np.concatenate([np.repeat(number, s) for s in sizes])
             by = np.argsort(key, kind="stable")
-            key = key[by]
+            key, place, col = key[by], place[by], col[by]
+            del by
             # where records, blocks and tokens begin: in the places, the records and the blocks
             hit = _starts(key)
             owner = key[hit] & 0xFFFFFFFF
             block = _starts(key[hit] // SLOTS)
             token = _starts(key[hit][block] >> 32)
             lengths = n[order][owner]
-            f = np.add.reduceat(factor[col[by]], hit) if len(hit) else np.empty(0)
+            f = np.add.reduceat(factor[col], hit) if len(hit) else np.empty(0)
             fold = lambda how, x: how.reduceat(x, block) if len(block) else x
             ends = lambda starts, size: pa.array(np.append(starts, size).astype(np.int32))
             by_block, by_hit = ends(token, len(block)), ends(block[token], len(hit))
@@ -139,7 +143,7 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
             listed = {
                 "offs": (by_block, (owner[block] // SLOTS).astype(np.int32)), "bits": (by_block, fold(np.bitwise_or, np.left_shift(np.uint64(1), (owner % SLOTS).astype(np.uint64))).view(np.int64)),
                 "f_max": (by_block, fold(np.maximum, f)), "n_min": (by_block, fold(np.minimum, lengths)), "froms": (by_block, held_before.astype(np.int32)),
-                "ns": (by_hit, lengths), "fs": (by_hit, f), "places": (by_hit, pa.ListArray.from_arrays(ends(hit, len(key)), pa.array(place[by].astype(np.int32)))),
+                "ns": (by_hit, lengths), "fs": (by_hit, f), "places": (by_hit, pa.ListArray.from_arrays(ends(hit, len(key)), pa.array(place))),
             }
             made = {c: pa.ListArray.from_arrays(to, x if isinstance(x, pa.Array) else pa.array(x)) for c, (to, x) in listed.items()}
             made |= {"kind": pa.array(["blocks"] * len(token), pa.string()), "token": pa.array(list(kinds), pa.string()).take(pa.array(key[hit][block][token] >> 32)), "first": pa.array(np.full(len(token), at))}
