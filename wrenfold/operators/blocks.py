@@ -50,7 +50,7 @@ FIRST, GROWTH = 64, 8
 #: Segments of a size class that become one, and records from which a size class is left.
 FANOUT, SMALLEST = 4, 10_000
 #: Blocks of a group, tokens from which a task begins another group, and rows of an Arrow batch that it sends back.
-GROUP, HELD, SENT = 128, 1 << 21, 20_000
+GROUP, HELD, SENT = 128, 1 << 20, 20_000
 #: A place is the column's number times this, plus the word's place in the column.
 COLUMN = 1 << 26
 
@@ -152,10 +152,13 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
                 "n": pa.array(n), "entry_id": b.column(0), "seq": b.column(1),
             }
             at += -(-len(b) // SLOTS)
+            # what is not sent goes before the next group's memory is taken
+            del key, place, col, hit, owner, block, lengths, f, listed, held_before
             for some, size in ((made, len(token)), (held, len(b))):
                 full = pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in _MADE], schema=_MADE)
                 for start in range(0, size, SENT):
                     yield full.slice(start, SENT)
+            del made, held, some, full
 
     return run
 
