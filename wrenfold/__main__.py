@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wrenfold.functions import render
+from wrenfold.operators.embedders import loaded
 from wrenfold.operators.store import KnowledgeStore, default_embedder
 from wrenfold.sources.records import read_json, to_json
 from wrenfold.streaming.upserts import SAVES
@@ -19,6 +20,8 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="wrenfold", description=__doc__)
     parser.add_argument("--root", default=os.environ.get("WRENFOLD_ROOT", "knowledge"), help="folder of the store")
     parser.add_argument("--lexical-only", action="store_true", help="neither make nor search vectors")
+    parser.add_argument("--tensors", help="tensor file of a static embedding model")
+    parser.add_argument("--tokenizer", help="the model's tokenizer file")
     jobs = parser.add_subparsers(dest="job", required=True)
     jobs.add_parser("stats")
     jobs.add_parser("recent")
@@ -47,7 +50,10 @@ def main(arguments: list[str] | None = None) -> int:
 
     logging.basicConfig(level=os.environ.get("WRENFOLD_LOG", "WARNING"))
     spark = SparkSession.builder.appName("wrenfold").getOrCreate()
-    store = KnowledgeStore(spark, a.root, None if a.lexical_only else default_embedder)
+    if bool(a.tensors) != bool(a.tokenizer):
+        parser.error("--tensors and --tokenizer go together")
+    embed = None if a.lexical_only else loaded(spark, a.tensors, a.tokenizer) if a.tensors else default_embedder
+    store = KnowledgeStore(spark, a.root, embed)
     if a.job == "stats":
         print(store.report())
     elif a.job == "recent":

@@ -26,6 +26,7 @@ from wrenfold.functions.vectors import bucket_embedding
 from wrenfold.functions import render
 from wrenfold.operators import batches, fusion, lexical, versions
 from wrenfold.operators.blocks import BlockIndex
+from wrenfold.operators.embedders import Embedder, embedder
 from wrenfold.operators.vector_blocks import VectorIndex
 from wrenfold.sources.records import export_array, export_lines, imported
 from wrenfold.schema import LIMITS, RANK_CONSTANT, RECORD, SCORE_FLOOR, VECTOR, WEIGHTS
@@ -59,10 +60,10 @@ def default_embedder(text: Column) -> Column:
 
 
 class KnowledgeStore:
-    """embed: a column expression from text to a vector, or None for keyword search alone."""
+    """embed: an embedder, a column expression from text to a vector, or None for keyword search alone."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[Column], Column] | None = default_embedder):
-        self.spark, self.root, self.embed = spark, checked_root(root), embed
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder | Callable[[Column], Column] | None = default_embedder):
+        self.spark, self.root, self.embed = spark, checked_root(root), embedder(embed)
 
     def _exists(self, name: str = "log") -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -214,7 +215,7 @@ class KnowledgeStore:
         lap = lambda: (clock.append(time.perf_counter()), 1000 * (clock[-1] - clock[-2]))[1]
         vector = None
         if self.embed is not None:
-            vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
+            vector = self.embed.add(self.spark.range(1), F.lit(query), "v").first()["v"]
         report = {"embedding_ms": lap()}
         self.index_missing()
         found = self.index().search(lexical.terms_of(self.spark, query), k)
@@ -309,8 +310,8 @@ class KnowledgeStore:
             if not held.groupBy("dedup_key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").isEmpty():
                 raise ValueError("records have keys that other entries hold")
         path = f"{self.root}/imports/{uuid.uuid4().hex}"
-        vector = self.embed(embed_text(*[F.col(c) for c in TEXTS], F.col("tags"))) if self.embed else F.array().cast("array<float>")
-        rows = rows.withColumns({"embedding": vector, "id": F.col("entry_id"), "created_at": F.coalesce("since", "now"), "updated_at": F.col("now"), "at": F.col("now")})
+        rows = _embedded(rows, self.embed)
+        rows = rows.withColumns({"id": F.col("entry_id"), "created_at": F.coalesce("since", "now"), "updated_at": F.col("now"), "at": F.col("now")})
         rows.write.parquet(path)
         staged = self.spark.read.schema(rows.schema).parquet(path)
         n, unknown = staged.agg(F.count(F.lit(1)), F.count_if(F.col("entry_id").isNull())).first()
@@ -348,12 +349,18 @@ class KnowledgeStore:
         """Embeds every record anew; each gets a history row."""
         if self.embed is None:
             return
-        vector = self.embed(embed_text(*[F.col(c) for c in TEXTS], F.col("tags")))
-        writes = self.current(vectors=True).withColumns({"embedding": vector, "updated_at": F.current_timestamp()})
+        writes = _embedded(self.current(), self.embed).withColumn("updated_at", F.current_timestamp())
         self._append(writes.select(F.col("id").alias("entry_id"), F.lit(0).alias("seq"), F.lit("update").alias("op"), F.col("updated_at").alias("at"), "*"))
 
 
-def prepare(saves: DataFrame, embed: Callable[[Column], Column] | None) -> DataFrame:
+def _embedded(rows: DataFrame, embed: Embedder | None) -> DataFrame:
+    """rows with the vectors of their texts and tags, which are empty without an embedder."""
+    if embed is None:
+        return rows.withColumn("embedding", F.array().cast("array<float>"))
+    return embed.add(rows, embed_text(*[F.col(c) for c in TEXTS], F.col("tags")))
+
+
+def prepare(saves: DataFrame, embed: Embedder | None) -> DataFrame:
     """Saves with checked, redacted fields, key, vector, secrets_redacted and reason (null where all is well)."""
     checks = {c: bounded(F.col(c), getattr(LIMITS, c)) for c in TEXTS}
     rows = saves.select("*", *[v.alias(f"{c}_ok") for c, v in checks.items()], clean_tags(F.col("tags")).alias("tags_ok"))
@@ -363,8 +370,7 @@ def prepare(saves: DataFrame, embed: Callable[[Column], Column] | None) -> DataF
     rows = rows.withColumns({c: F.col(f"{c}_red.clean") for c in TEXTS})
     rows = rows.withColumns({"tags": F.col("tags_ok.value"), "secrets_redacted": sum((F.col(f"{c}_red.n") for c in TEXTS), F.lit(0))})
     rows = rows.withColumn("dedup_key", F.coalesce("dedup_key", dedup_key(F.col("project_scope"), F.col("title"))))
-    text = embed_text(*[F.col(c) for c in TEXTS], F.col("tags"))
-    rows = rows.withColumn("embedding", embed(text) if embed else F.array().cast("array<float>"))
+    rows = _embedded(rows, embed)
     return rows.drop(*[f"{c}_ok" for c in TEXTS], "tags_ok", *[f"{c}_red" for c in TEXTS])
 
 

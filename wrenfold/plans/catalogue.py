@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wrenfold.functions import redaction, render, textops, vectors
 from wrenfold.operators import fusion, lexical, merge, similarity, store, versions
 from wrenfold.operators.blocks import BlockIndex
+from wrenfold.operators.embedders import TableEmbedder
 from wrenfold.sources import records as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,6 +419,30 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("conv_id", "turn", "k", F.round("x", 6).alias("x"))
 
 
+TURN_QUERY = "how do I restore a backup of the table"
+
+
+@query(f"""WITH {_VECTORS_SQL}, n AS (SELECT count(*) AS n FROM v), q AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, -1, {_quoted(TURN_QUERY)}),
+w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM q),
+t AS (SELECT conv_id, turn, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % n AS token, count(*) AS c FROM w, n GROUP BY ALL),
+e AS (SELECT conv_id, turn, c, unnest(x) AS x, unnest(range(len(x))) AS k FROM t JOIN v ON vec_id = token),
+s AS (SELECT conv_id, turn, k, sum(c * x) AS s FROM e GROUP BY conv_id, turn, k),
+u AS (SELECT conv_id, turn, k, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY conv_id, turn)) AS FLOAT) AS DOUBLE) AS x FROM s),
+d AS (SELECT a.conv_id, a.turn, sum(a.x * b.x) AS s FROM u a JOIN u b ON a.k = b.k AND b.conv_id = -1 GROUP BY a.conv_id, a.turn)
+SELECT conv_id, turn, round(coalesce(s, 0), 6) AS score FROM conversations LEFT JOIN d USING (conv_id, turn)""")
+def table_embedder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's nearness to a query, both embedded by a table of token vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    words = lambda text: F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+    tokens = lambda text: F.transform(words(text), lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % n)
+    model = TableEmbedder(e.select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector")), tokens)
+    asked = model.add(spark.range(1), F.lit(TURN_QUERY)).first()["embedding"]
+    turns = model.add(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), F.col("text"))
+    score = vectors.dot(F.col("embedding"), F.array(*[F.lit(x) for x in asked]))
+    return turns.select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
 @query("SELECT vec_id, len(embedding) * 4 AS n_bytes, md5(array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT)), ',')) AS md5 FROM embeddings")
 def bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_bytes("embedding").alias("b"))
