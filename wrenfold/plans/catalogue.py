@@ -414,7 +414,9 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     words = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("w"))
     tokens = words.select("id", ((F.ascii("w") * 7 + F.length("w")) % e.count()).cast("long").alias("token"))
-    found = vectors.pooled(tokens, e.select(F.col("vec_id").alias("token"), "embedding"), "id", "token", "embedding", unit=False)
+    # letters times lengths are few, however many vectors there are
+    used = e.select(F.col("vec_id").alias("token"), "embedding").join(tokens.select("token").distinct(), "token", "left_semi")
+    found = vectors.pooled(tokens, used, "id", "token", "embedding", unit=False, small=True, width=e.agg(F.max(F.size("embedding"))).first()[0])
     cells = found.select("id.conv_id", "id.turn", F.posexplode("vector").alias("k", "x"))
     return cells.select("conv_id", "turn", "k", F.round("x", 6).alias("x"))
 
