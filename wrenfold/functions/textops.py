@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -44,7 +45,7 @@ def union_tags(old: Column, new: Column) -> Column:
     """The old tags, then the new, each in its first spelling."""
     both = F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))
     small = F.transform(both, F.lower)
-    return F.filter(both, lambda t, i: F.array_position(small, F.lower(t)) == i + 1)
+    return _let(small, lambda lower: F.filter(both, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1))
 
 
 def has_all_tags(tags: Column, wanted: list[str]) -> Column:
@@ -100,9 +101,15 @@ def identifier_parts(token: Column) -> Column:
 
 def query_terms(query: Column) -> Column:
     """An array of structs (term, prefix): the query's tokens and their parts, each once whatever its case."""
-    bound = head_bytes(strip(query), QUERY_OPTIONS.bytes)
+    # each step is computed once a row: in a function of an array's items it would be once an item
+    bound = _let(strip(query), lambda q: head_bytes(q, QUERY_OPTIONS.bytes))
     tokens = F.filter(F.split(bound, r"[^\p{IsAlphabetic}\p{N}_]+"), lambda t: t != "")
     parts = F.flatten(F.transform(tokens, identifier_parts))
-    small = F.transform(parts, F.lower)
-    once = F.filter(parts, lambda t, i: F.array_position(small, F.lower(t)) == i + 1)
+    found = lambda p, small: F.filter(p, lambda t, i: F.array_position(small, F.lower(t)) == i + 1)
+    once = _let(parts, lambda p: _let(F.transform(p, F.lower), lambda small: found(p, small)))
     return F.transform(F.slice(once, 1, QUERY_OPTIONS.terms), lambda t: F.struct(t.alias("term"), (F.length(t) >= QUERY_OPTIONS.prefix).alias("prefix")))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
