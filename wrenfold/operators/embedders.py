@@ -5,8 +5,8 @@ column to a column, which `embedder` wraps. Without an embedder, or where a mode
 keywords alone (`loaded`).
 
 A `TableEmbedder` takes a table of token vectors. Rows are known by their text's digest: distinct texts are shuffled
-once by it, and are tokenised, counted, joined to the table and pooled in that partitioning. The table is a
-vocabulary's, not a corpus's; it is broadcast up to BROADCAST bytes, as measured. Beyond, tokens and table meet by a
+once by it, and are tokenised, joined to the table and pooled in that partitioning. The table is a
+vocabulary's, not a corpus's; it is broadcast up to BROADCAST bytes, as measured. Beyond, counted tokens and table meet by a
 shuffle over SALTS parts of each token, since every text has the most frequent ones.
 
 Defined cases: a null text is empty; a text without a token of the table takes a zero vector, which nothing is near
@@ -86,12 +86,12 @@ class TableEmbedder:
         keyed = keyed.withColumn("_embed_key", F.unhex(F.sha2("_embed_text", 256)))
         texts = keyed.groupBy("_embed_key").agg(F.first("_embed_text").alias("t"))
         tokens = texts.select("_embed_key", F.explode(self.tokens(F.col("t")).cast("array<long>")).alias("token"))
-        table = F.broadcast(self.table) if self.small else self.table
+        table = self.table
         if not self.small:
             tokens = tokens.withColumn("token", F.col("token") * SALTS + F.pmod(F.xxhash64("_embed_key"), F.lit(SALTS)))
             parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
             table = table.withColumn("part", parts).select((F.col("token") * SALTS + F.col("part")).alias("token"), "vector")
-        found = pooled(tokens, table, "_embed_key", "token", "vector", self.unit).select("_embed_key", F.col("vector").cast("array<float>").alias(into))
+        found = pooled(tokens, table, "_embed_key", "token", "vector", self.unit, self.small, self.width).select("_embed_key", F.col("vector").cast("array<float>").alias(into))
         zero = F.array_repeat(F.lit(0.0).cast("float"), self.width)
         joined = keyed.drop("_embed_text", into).join(found, "_embed_key", "left")
         return joined.withColumn(into, F.coalesce(into, zero)).drop("_embed_key")
