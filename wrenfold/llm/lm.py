@@ -7,11 +7,13 @@ words, the end of a text, and buckets that all other words share by their last t
 the smoothed share of its count, and all words never seen have one share together. So the probabilities of all
 texts sum to one.
 
-Three passes over the texts on Spark: word counts of all training texts; triples of neighbouring classes, drawn
-evenly from all places of all texts by a hash of text and place; and the scores. The number of words with a class,
-of triples and of training steps grow with the fifth root of the number of tokens (GROWTH), so what the driver fits
-stays small but never stands still. The network is fitted there in numpy: batches of triples against noise drawn
-from the unigram distribution, which is that of all tokens. Tasks turn its weights into normalised
+Passes over the texts on Spark: word counts of all training texts; their classes, written once as two bytes a token
+(`coded`); the fit; and the scores. The fit goes through every place of every text: in each of ROUNDS rounds, tasks
+take their part of the places in batches of runs against noise drawn from the unigram distribution of all tokens, each from
+the same weights, and the means of what they end with, by their numbers of places, are the next round's weights. So
+tasks grow with the tokens, and no triple passes through the driver. A task has STEPS batches, so few tokens are one
+task's, which goes through them again and again. The number of words with a class and the batches of a task grow with
+the fifth root of the number of tokens (GROWTH). Tasks turn the weights into normalised
 log-probabilities by batched matrix products, one row for each distinct context of a group of texts. Counts of the
 most frequent words, HEAD at most, go to the tasks with them. The other words of a text are joined to the whole
 table of counts by a shuffle, so no vocabulary needs to fit anywhere.
@@ -30,19 +32,23 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenfold.llm.common import written
+from wrenfold.llm.common import removed, written
 from wrenfold.llm.tokens import groups, split_words
 
-#: Words with a class of their own, triples and steps of the training, all for BASE tokens; from there they grow by this power.
-WORDS, TRIPLES, STEPS = 1000, 2_000_000, 2500
+#: Words with a class of their own, and batches that a task of the fit takes, both for BASE tokens; from there they grow by this power.
+WORDS, STEPS = 1000, 1200
 BASE, GROWTH = 10_000_000, 0.2
+#: Places of a run, runs of a batch, its draws of noise, rounds of more than one task, and parts of the weights that meet in a task.
+RUN, RUNS, NOISE, ROUNDS, PARTS = 16, 128, 128, 5, 64
+#: Tokens of a row of coded texts at most, and the bit of a code that only gives context.
+PIECE, CONTEXT = 1 << 16, 1 << 15
 #: Buckets of the other words, and width of the vectors.
 BUCKETS, WIDTH = 280, 32
 #: Most words whose counts go to every task.
@@ -178,77 +184,191 @@ def stream(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(0, closing[:-1] + 1)
 
 
-def triples(docs: DataFrame, model: Model, wanted: int, text_col: str = "text") -> DataFrame:
-    """About `wanted` places of all texts, as one number: classes far, near and target in base of their number."""
+def coded(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(slot, classes): texts as 16-bit classes, each with its end, in pieces of at most PIECE. Slots are dealt in turn.
+
+    A piece that goes on with a text has the two classes before it in front, and one that a text goes on behind an
+    end after it, all three marked with CONTEXT.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    share = min(1.0, wanted / max(1, model.tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         places, of = m.lookup()
-        n = m.classes
+        done = TaskContext.get().partitionId()
         for batch in batches:
             for part in groups(batch.column(0), SCORED_BYTES):
                 words, ends = words_in(part)
+                words = words.dictionary_encode()
                 at, starts = stream(ends, len(words))
-                seeds = np.array([xxhash.xxh64_intdigest(t.as_buffer() if t.is_valid else b"") for t in part], np.uint64)
-                sizes = np.diff(np.append(starts, len(at)))
-                h = np.repeat(seeds - starts.astype(np.uint64), sizes) + np.arange(len(at), dtype=np.uint64)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                taken = np.flatnonzero(((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) < share * 2.0**53)
-                begun = taken - np.repeat(starts, sizes)[taken]
-                which = np.stack([np.where(begun > 1, at[taken - 2], -1), np.where(begun > 0, at[taken - 1], -1), at[taken]])
-                used = words.take(pa.array(which[which >= 0])).dictionary_encode()
-                found = np.zeros(which.shape, np.int64)
-                found[which >= 0] = m.classes_of(used.dictionary.to_pylist(), places, of)[0][used.indices.to_numpy()]
-                yield pa.RecordBatch.from_arrays([pa.array((found[0] * n + found[1]) * n + found[2])], ["triple"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "triple long")
-
-
-def fit(drawn: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = 2048, noise: int = 128, seed: int = 11) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation on triples (a row each), with Adam; a batch shares its noise, drawn by counts."""
+                found = np.zeros(len(at), np.uint16)
+                own = at >= 0
+                found[own] = m.classes_of(words.dictionary.to_pylist(), places, of)[0][words.indices.to_numpy()]
+                rows = [x for text in np.split(found, starts[1:]) for x in _pieces(text)]
+                slots = pa.array(((done + np.arange(len(rows))) % ROUNDS).astype(np.int32))
+                done += len(rows)
+                yield pa.RecordBatch.from_arrays([slots, pa.array([x.tobytes() for x in rows], pa.binary())], ["slot", "classes"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "slot int, classes binary")
+
+
+def _pieces(text: np.ndarray) -> Iterator[np.ndarray]:
+    for at in range(0, len(text), PIECE):
+        before = text[max(0, at - 2) : at] | np.uint16(CONTEXT)
+        after = [CONTEXT] if at + PIECE < len(text) else []
+        yield np.concatenate([before, text[at : at + PIECE], np.array(after, np.uint16)])
+
+
+class State:
+    """Weights and Adam's two means, each one run of numbers, by name in `w`, `first` and `second`."""
+
+    def __init__(self, classes: int, flat: np.ndarray):
+        self.flat = flat.astype(np.float32)
+        shapes = {"r": (classes, WIDTH), "near": (WIDTH, WIDTH), "far": (WIDTH, WIDTH), "s": (classes, WIDTH), "b": (classes,)}
+        ends = np.cumsum([int(np.prod(x)) for x in shapes.values()])
+        self.w, self.first, self.second = (
+            {k: part[end - int(np.prod(x)) : end].reshape(x) for (k, x), end in zip(shapes.items(), ends, strict=True)} for part in self.flat.reshape(3, -1)
+        )
+
+    @classmethod
+    def begun(cls, counts: np.ndarray, seed: int = 11) -> State:
+        rng = np.random.default_rng(seed)
+        n = len(counts)
+        w = [rng.normal(0, 0.3, (n, WIDTH)), np.eye(WIDTH), 0.3 * np.eye(WIDTH), rng.normal(0, 0.1, (n, WIDTH)), np.log(_unigram(counts))]
+        w = np.concatenate([x.ravel() for x in w])
+        return cls(n, np.concatenate([w, np.zeros(2 * len(w))]))
+
+
+def _unigram(counts: np.ndarray) -> np.ndarray:
+    return (counts + 0.5) / (counts + 0.5).sum()
+
+
+def fit(state: State, codes: np.ndarray, counts: np.ndarray, steps: int, begun: float = 0.0, ended: float = 1.0, before: int = 0, seed: int = 0) -> None:
+    """Noise-contrastive estimation on the places of coded texts, with Adam, from `begun` to `ended` of the whole fit.
+
+    Runs of places are taken in random order, all before any is taken again. A batch shares its noise, drawn by counts.
+    """
     rng = np.random.default_rng(seed)
-    classes = len(counts)
-    unigram = (counts + 0.5) / (counts + 0.5).sum()
-    w = {"r": rng.normal(0, 0.3, (classes, WIDTH)), "near": np.eye(WIDTH), "far": 0.3 * np.eye(WIDTH), "s": rng.normal(0, 0.1, (classes, WIDTH)), "b": np.log(unigram)}
-    w = {k: v.astype(np.float32) for k, v in w.items()}
-    if not len(drawn):
-        return w
-    q = np.cumsum(unigram)
-    first = {k: np.zeros_like(v) for k, v in w.items()}
-    second = {k: np.zeros_like(v) for k, v in w.items()}
-    log_noise = np.log(noise * unigram).astype(np.float32)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    unigram = _unigram(counts)
+    q, classes = np.cumsum(unigram), len(counts)
+    log_noise = np.log(NOISE * unigram).astype(np.float32)
+    n_runs = -(-len(codes) // RUN)
+    padded = np.full(n_runs * RUN + 2, CONTEXT, np.uint16)
+    padded[2 : 2 + len(codes)] = codes
+    runs = np.lib.stride_tricks.sliding_window_view(padded, RUN + 2)[::RUN]
+    w = state.w
+    order = np.empty(0, np.int64)
     for step in range(1, steps + 1):
-        far, near, t = drawn[rng.integers(0, len(drawn), batch)].T
-        z = np.minimum(np.searchsorted(q, rng.random(noise)), classes - 1)
-        r_near, r_far = w["r"][near], w["r"][far]
-        x = r_near @ w["near"] + r_far @ w["far"]
-        g_t = 1 - sigmoid((x * w["s"][t]).sum(axis=1) + w["b"][t] - log_noise[t])
-        g_z = -sigmoid(x @ w["s"][z].T + (w["b"][z] - log_noise[z]))
-        g_x = g_t[:, None] * w["s"][t] + g_z @ w["s"][z]
+        if not len(order) or (len(order) < RUNS and step < steps):
+            order = np.concatenate([order, *[rng.permutation(n_runs) for _ in range(-(-RUNS // n_runs))]])
+        taken, order = runs[order[:RUNS]], order[RUNS:]
+        own = (taken[:, 2:] < CONTEXT).astype(np.float32)
+        taken = (taken & np.uint16(CONTEXT - 1)).astype(np.int64)
+        near, t = taken[:, 1:-1].ravel(), taken[:, 2:].ravel()
+        first_place = near == 0  # what is before an end belongs to another text
+        far = np.where(first_place, 0, taken[:, :-2].ravel())
+        z = np.minimum(np.searchsorted(q, rng.random(NOISE)), classes - 1)
+        x = (w["r"] @ w["near"])[near] + (w["r"] @ w["far"])[far]
+        s_t = w["s"][t]
+        g_t = 1 - _sigmoid(np.einsum("ij,ij->i", x, s_t) + w["b"][t] - log_noise[t])
+        g_t *= own.ravel()
+        g_z = _sigmoid(x @ w["s"][z].T + (w["b"][z] - log_noise[z]))
+        g_z *= -own.ravel()[:, None]
+        g_x = g_t[:, None] * s_t
+        g_x += g_z @ w["s"][z]
+        # each class's sums: of what it predicted as the near and the far token, and of its own contexts
+        each = np.zeros((*taken.shape, 3 * WIDTH), np.float32)
+        wide = g_x.reshape(-1, RUN, WIDTH)
+        each[:, 1:-1, :WIDTH] = wide
+        each[:, :-2, WIDTH : 2 * WIDTH] = wide * ~first_place.reshape(-1, RUN, 1)
+        each[:, 2:, 2 * WIDTH :] = (g_t[:, None] * x).reshape(wide.shape)
+        sums = _by_row(taken.ravel(), each.reshape(-1, 3 * WIDTH), classes)
+        g_near, g_far, g_s = (sums[:, k * WIDTH : (k + 1) * WIDTH] for k in range(3))
+        g_far[0] += g_x[first_place].sum(axis=0)
+        np.add.at(g_s, z, g_z.T @ x)
         g = {
-            "r": _by_row(near, g_x @ w["near"].T, classes) + _by_row(far, g_x @ w["far"].T, classes),
-            "near": r_near.T @ g_x,
-            "far": r_far.T @ g_x,
-            "s": _by_row(t, g_t[:, None] * x, classes) + _by_row(z, g_z.T @ x, classes),
+            "r": g_near @ w["near"].T + g_far @ w["far"].T,
+            "near": w["r"].T @ g_near,
+            "far": w["r"].T @ g_far,
+            "s": g_s,
             "b": np.bincount(t, g_t, classes) + np.bincount(z, g_z.sum(axis=0), classes),
         }
-        rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+        rate = 0.02 * min(1.0, 2 * (1 - begun - (ended - begun) * step / (steps + 1)))
+        n, size = before + step, np.float32(1 / max(1.0, own.sum()))
         for k in w:
-            d = (g[k] / batch).astype(np.float32)
-            first[k] = 0.9 * first[k] + 0.1 * d
-            second[k] = 0.99 * second[k] + 0.01 * d * d
-            w[k] += rate / (1 - 0.9**step) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    return w
+            d = g[k].astype(np.float32) * size
+            first, second = state.first[k], state.second[k]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * d
+            second *= np.float32(0.99)
+            d *= d
+            second += np.float32(0.01) * d
+            w[k] -= np.float32(-rate / (1 - 0.9**n)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99**n))) + np.float32(1e-8))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The sums of the values of each row."""
-    width = values.shape[1]
-    return np.bincount((rows[:, None] * width + np.arange(width)).ravel(), values.ravel(), n * width).reshape(n, width)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    found = rows[order]
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[found[starts]] = np.add.reduceat(values[order], starts)
+    return out
+
+
+def fitted(rows: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """The weights after every place of rows (slot, classes) of `coded`."""
+    spark, counts = rows.sparkSession, model.class_counts()
+    steps = int(STEPS * grown(model.tokens))
+    tasks = max(1, round(model.tokens / (steps * RUNS * RUN)))
+    rounds = ROUNDS if tasks > 1 else 1
+    state = State.begun(counts)
+    for k in range(rounds):
+        own = rows.where(F.col("slot") == k) if rounds > 1 else rows
+        # a task's texts by their classes: one task's result does not depend on how the texts lay
+        own = own.select("classes").repartition(tasks).sortWithinPartitions("classes")
+        sent = spark.sparkContext.broadcast(state.flat)
+        ended = own.mapInArrow(_fitter(sent, counts, steps, k, rounds), "part int, task int, n long, state binary")
+        found = ended.groupBy("part").applyInPandas(_mean, "part int, state binary").collect()  # PARTS rows
+        if found:
+            state = State(len(counts), np.concatenate([np.frombuffer(r["state"], np.float32) for r in sorted(found, key=lambda r: r["part"])]))
+        sent.unpersist()
+    return state.w
+
+
+def _fitter(sent, counts: np.ndarray, steps: int, k: int, rounds: int):
+    """Round k of a task: from the sent numbers on through all of its places; what it ends with, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.frombuffer(x.as_py(), np.uint16) for batch in batches for x in batch.column(0)]
+        if not found:
+            return
+        codes = np.concatenate(found)
+        task = TaskContext.get().partitionId()
+        state = State(len(counts), sent.value.copy())
+        own = -(-len(codes) // (RUNS * RUN))
+        fit(state, codes, counts, own if rounds > 1 else max(steps, own), k / rounds, (k + 1) / rounds, k * steps // rounds, 1000 * task + k)
+        cuts = np.array_split(state.flat, PARTS)
+        columns = [pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int32()), pa.array([len(codes)] * PARTS, pa.int64()), pa.array([c.tobytes() for c in cuts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "task", "n", "state"])
+
+    return run
+
+
+def _mean(group: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a part over tasks, by their numbers of places."""
+    group = group.sort_values("task")
+    share = group["n"].to_numpy() / group["n"].sum()
+    total = sum(np.frombuffer(x, np.float32) * y for x, y in zip(group["state"], share, strict=True))
+    return pd.DataFrame({"part": [int(group["part"].iloc[0])], "state": [total.astype(np.float32).tobytes()]})
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -268,10 +388,9 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     for row in rest.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         sums[row["k"]] = row["n"], row["v"]
     model = Model(total[0] or 0, total[1], head, n_words, ends["n"] if ends else 0, sums)
-    found = triples(docs, model, int(TRIPLES * grown(model.tokens)), text_col).toArrow()  # about as many rows
-    drawn, n = np.sort(found.column("triple").to_numpy()), model.classes
-    drawn = np.stack([drawn // n**2, drawn // n % n, drawn % n], axis=1)
-    model.weights = fit(drawn, model.class_counts(), int(STEPS * grown(model.tokens)))
+    rows = written(coded(docs, model, text_col), "coded", ("slot",))
+    model.weights = fitted(rows, model)
+    removed(rows)
     return model, counts
 
 
