@@ -1,6 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands find the pairs, shingle sets decide them.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash and MinHash find the pairs, shingle sets decide them.
 
-Texts of equal shingle sets are one. Of each set, ROWS least hashes under ROWS multipliers make a band, and two sets
+Texts of equal shingle sets are one. Candidates are, first, sets whose texts' fingerprints operator 5 links (simhash.links,
+at LIMIT bits), and those of one fingerprint. As 64 bits miss most pairs at such a similarity, pairs that share a band are
+candidates too. Of each set, ROWS least hashes under ROWS multipliers make a band, and two sets
 that share one of BANDS bands are candidates: at a similarity of 0.8 a pair misses all bands with a chance of
 (1 - 0.8**6)**40, about 5e-6; at 0.3, as texts that share a passage have, 3 % of pairs are candidates. Candidates are joined into components by stars, which may hold too much, never too
 little; within a component every pair that no links join yet is compared by its whole sets, and the pairs that reach
@@ -23,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from wrenfold.llm import simhash
 from wrenfold.llm.common import written
 from wrenfold.llm.simhash import _hashes, components
 
 BANDS, ROWS = 40, 6
+#: Differing bits of linked fingerprints.
+LIMIT = 3
 #: Sets of a component that one task compares with each other, or with as many others.
 CHUNK = 2048
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,21 +59,23 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The columns of rows, of which doc holds the text, the id of the text's shingle set, and its bands."""
+    """The columns of rows, of which doc holds the text, the id of the text's shingle set, its fingerprint and its bands."""
     at = rows.columns.index("doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            ids, prints, keys = [], [], []
             for x in batch.column(at).field(text_col):
-                hashes = shingles(x.as_py(), size)
+                whole = _hashes(x.as_py(), size)
+                prints.append(simhash.print_of(whole))
+                hashes = np.unique(whole)
                 ids.append(set_id(hashes))
                 keys.append(bands(hashes))
             sizes = np.cumsum([0, *map(len, keys)])
-            more = [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "set", "bands"])
+            more = [pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "set", "fp", "bands"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("set", LongType()), StructField("bands", ArrayType(LongType()))]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("set", LongType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]))
 
 
 def compare(sets: list[np.ndarray], right: np.ndarray | None, least: float) -> np.ndarray:
@@ -115,15 +122,27 @@ def _comparer(size: int, least: float) -> Callable[[tuple, pd.DataFrame], pd.Dat
     return run
 
 
+def alike(reps: DataFrame) -> DataFrame:
+    """Stars (a, b), a < b, of the sets of reps (set, fp) whose fingerprints operator 5 links, or that share one."""
+    prints = reps.groupBy("fp").agg(F.min("set").alias("a"))
+    same = reps.select("fp", F.col("set").alias("b")).join(prints, "fp").select("a", "b")
+    near = simhash.links(prints.select("fp"), LIMIT)
+    left, right = (prints.select(F.col("fp").alias(c), F.col("a").alias(f"set_{c}")) for c in ("a", "b"))
+    near = near.join(left, "a").join(right, "b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+    return same.unionByName(near).where("a < b").distinct()
+
+
 def links(texts: DataFrame, reps: DataFrame, size: int, least: float) -> DataFrame:
     """Links (a, b), a < b, that join the sets connected at that similarity.
 
-    texts: (row, text); reps: (set, row, bands), row one that has the set. Texts meet the candidates by a shuffle at
+    texts: (row, text); reps: (set, row, fp, bands), row one that has the set. Texts meet the candidates by a shuffle at
     every size, so that what is measured on small tables is the plan of large ones.
     """
     keys = reps.select("set", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a < b").select("key", "a")
-    stars = keys.withColumnRenamed("set", "b").join(shared, "key").where("a < b").select("a", "b").distinct()
+    stars = keys.withColumnRenamed("set", "b").join(shared, "key").where("a < b").select("a", "b")
+    # the empty set is like none, and has no bands
+    stars = stars.unionByName(alike(reps.where(F.size("bands") > 0).select("set", "fp"))).distinct()
     found = written(components(stars), "candidates")
     heavy = found.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     found = found.join(heavy, "label").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -142,8 +161,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     text = F.col("doc").getField(text_col)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("doc"))
     sets = written(_sets(rows, text_col, size), "shingle-sets")
-    reps = written(sets.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("bands").alias("bands")), "shingle-sets")
-    labels = components(links(sets.select("row", text.alias("text")), reps.select("set", "row", "bands"), size, least))
+    reps = written(sets.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-sets")
+    labels = components(links(sets.select("row", text.alias("text")), reps.select("set", "row", "fp", "bands"), size, least))
     named = reps.join(labels, reps["set"] == labels["node"], "left").select("set", "first", F.coalesce("label", "set").alias("label"))
     names = named.groupBy("label").agg(F.min("first").alias("component_id"))
     members = sets.select("row", "doc_id", "set").join(named.join(names, "label").select("set", "label", "component_id"), "set")

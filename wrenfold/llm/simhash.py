@@ -55,7 +55,11 @@ def _hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    hashes = _hashes(text, size)
+    return print_of(_hashes(text, size))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The same of its shingles' hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype(">u8")
