@@ -13,8 +13,8 @@ take their part of the places in batches of runs against noise drawn from the un
 the same weights, and the means of what they end with, by their numbers of places, are the next round's weights. So
 tasks grow with the tokens, and no triple passes through the driver. A task has STEPS batches, so few tokens are one
 task's, which goes through them again and again. The number of words with a class and the batches of a task grow with
-the fifth root of the number of tokens (GROWTH). Tasks turn the weights into normalised
-log-probabilities by batched matrix products, one row for each distinct context of a group of texts. Counts of the
+the fifth root of the number of tokens (GROWTH). A context's normaliser is a sum over classes of a factor of its far
+token times a factor of its near one, so one matrix product gives those of all contexts; a worker makes it once. Counts of the
 most frequent words, HEAD at most, go to the tasks with them. The other words of a text are joined to the whole
 table of counts by a shuffle, so no vocabulary needs to fit anywhere.
 
@@ -29,7 +29,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,8 +52,8 @@ PIECE, CONTEXT = 1 << 16, 1 << 15
 BUCKETS, WIDTH = 280, 32
 #: Most words whose counts go to every task.
 HEAD = 200_000
-#: Distinct contexts whose scores of all classes are held at once.
-ROWS = 128
+#: Contexts whose scores of all classes are held at once, and the least sum of factors that counts: 32 bits lose nothing that matters in more.
+ROWS, LEAST_SUM = 128, 1e-25
 #: Bytes of texts that are counted, and scored, together, about.
 COUNTED_BYTES, SCORED_BYTES = 1 << 24, 1 << 22
 #: The end of a text, in the table of counts; no word is empty.
@@ -107,42 +106,64 @@ class Model:
         return self.weights["by_near"][near] + self.weights["by_far"][far]
 
     def ready(self) -> None:
-        """Makes the weights ready for scoring: each class's vector times each position's matrix."""
+        """Makes the weights ready for scoring, once: each class's vector times each position's matrix, and the contexts' normalisers."""
         w = self.weights
-        self.weights |= {"by_near": (w["r"] @ w["near"]).astype(np.float32), "by_far": (w["r"] @ w["far"]).astype(np.float32), "s": w["s"].astype(np.float32), "b": w["b"].astype(np.float32)}
+        if "totals" not in w:
+            w |= {"by_near": (w["r"] @ w["near"]).astype(np.float32), "by_far": (w["r"] @ w["far"]).astype(np.float32), "s": w["s"].astype(np.float32), "b": w["b"].astype(np.float32)}
+            w["totals"] = self._totals()
+
+    def _totals(self) -> np.ndarray:
+        """The logs of the sums over classes, a row for each far token, a column for each near one: e^(far + near) is e^far e^near."""
+        w, n = self.weights, self.classes
+
+        def factors(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = scores.max(axis=1, keepdims=True)
+            scores -= top
+            return np.exp(scores, out=scores), top
+
+        near, near_top = factors(w["by_near"] @ w["s"].T + w["b"])
+        totals = np.empty((n, n), np.float32)
+        for at in range(0, n, ROWS):
+            far, far_top = factors(w["by_far"][at : at + ROWS] @ w["s"].T)
+            sums = far @ near.T
+            faint = np.argwhere(sums < LEAST_SUM)  # the far token's likely classes are not the near one's
+            np.log(np.maximum(sums, LEAST_SUM, out=sums), out=totals[at : at + ROWS])
+            totals[at : at + ROWS] += far_top + near_top.T
+            for k in range(0, len(faint), ROWS):
+                rows, columns = faint[k : k + ROWS].T
+                each, top = factors(self.context(at + rows, columns) @ w["s"].T + w["b"])
+                totals[at + rows, columns] = np.log(each.sum(axis=1)) + top[:, 0]
+        return totals
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 of the targets' probabilities among all classes after their contexts."""
-        w, n = self.weights, self.classes
-        keys, place = np.unique(far.astype(np.int64) * n + near, return_inverse=True)
-        x = self.context(keys // n, keys % n)
-        totals = np.empty(len(keys))
-        for at in range(0, len(keys), ROWS):
-            logits = x[at : at + ROWS] @ w["s"].T
-            logits += w["b"]
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            totals[at : at + ROWS] = np.log(logits.sum(axis=1)) + top[:, 0]
-        out = w["b"][target] - totals[place]
-        for at in range(0, len(out), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            out[part] += np.einsum("ij,ij->i", x[place[part]], w["s"][target[part]])
-        return out / np.log(10)
+        self.ready()
+        w = self.weights
+        out = np.empty(len(target))
+        for at in range(0, len(out), 1 << 14):
+            f, h, t = (x[at : at + (1 << 14)] for x in (far, near, target))
+            out[at : at + (1 << 14)] = np.einsum("ij,ij->i", self.context(f, h), w["s"][t]) + w["b"][t] - w["totals"][f, h]
+        out /= np.log(10)
+        return out
 
     def lookup(self) -> tuple[dict[str, int], np.ndarray]:
         """Places of the head's words, and the class of each."""
         places = {w: k for k, (w, _) in enumerate(self.head)}
         of = np.arange(1, len(self.head) + 1)
-        of[self.n_words :] = [1 + self.n_words + bucket(w.encode("utf-8")) for w, _ in islice(self.head, self.n_words, None)]
+        of[self.n_words :] = self._buckets(pa.array([w for w, _ in self.head[self.n_words :]], pa.string()))
         return places, of
 
-    def classes_of(self, words: list[str], places: dict[str, int], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _buckets(self, words: pa.Array) -> np.ndarray:
+        """The words' classes if they have none of their own: a bucket for each different end."""
+        ends = pc.utf8_slice_codeunits(words, -2, None).dictionary_encode()
+        return np.array([1 + self.n_words + bucket(x.encode("utf-8")) for x in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+
+    def classes_of(self, words: pa.Array, head: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' classes, and their places in the head, -1 where they aren't."""
-        at = np.array([places.get(w, -1) for w in words], np.int64)
+        at = pc.fill_null(pc.index_in(words, head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         out = np.flatnonzero(at < 0)
         found = of[at] if len(of) else np.zeros(len(at), np.int64)
-        found[out] = [1 + self.n_words + bucket(words[k].encode("utf-8")) for k in out.tolist()]
+        found[out] = self._buckets(words.take(pa.array(out)))
         return found, at
 
 
@@ -195,6 +216,7 @@ def coded(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         places, of = m.lookup()
+        head = pa.array(list(places), pa.string())
         done = TaskContext.get().partitionId()
         for batch in batches:
             for part in groups(batch.column(0), SCORED_BYTES):
@@ -203,7 +225,7 @@ def coded(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 at, starts = stream(ends, len(words))
                 found = np.zeros(len(at), np.uint16)
                 own = at >= 0
-                found[own] = m.classes_of(words.dictionary.to_pylist(), places, of)[0][words.indices.to_numpy()]
+                found[own] = m.classes_of(words.dictionary, head, of)[0][words.indices.to_numpy()]
                 rows = [x for text in np.split(found, starts[1:]) for x in _pieces(text)]
                 slots = pa.array(((done + np.arange(len(rows))) % ROUNDS).astype(np.int32))
                 done += len(rows)
@@ -402,6 +424,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
         m = shared.value
         m.ready()
         places, of = m.lookup()
+        head = pa.array(list(places), pa.string())
         known = np.log10(np.array([c for _, c in m.head], np.float64) + 0.1)
         of_bucket = np.log10(m.bucket_counts[:, 0] + 0.1 * (m.bucket_counts[:, 1] + 1))
         task, done = TaskContext.get().partitionId(), 0
@@ -409,7 +432,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
             at = 0
             for part in groups(batch.column(1), SCORED_BYTES):
                 keys = np.arange(done, done + len(part)) + (task << 33)
-                yield _scored(m, part, batch.column(0).slice(at, len(part)), keys, places, of, known, of_bucket)
+                yield _scored(m, part, batch.column(0).slice(at, len(part)), keys, head, of, known, of_bucket)
                 at, done = at + len(part), done + len(part)
 
     head = "struct<doc_id: long, n_tokens: long, n_known: long, base_score: double, score: double>"
@@ -435,11 +458,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
     )
 
 
-def _scored(m: Model, texts: pa.Array, doc_ids: pa.Array, keys: np.ndarray, places: dict[str, int], of: np.ndarray, known: np.ndarray, of_bucket: np.ndarray) -> pa.RecordBatch:
+def _scored(m: Model, texts: pa.Array, doc_ids: pa.Array, keys: np.ndarray, head: pa.Array, of: np.ndarray, known: np.ndarray, of_bucket: np.ndarray) -> pa.RecordBatch:
     """(key, head, rest) of texts: what the model and the head give, and the words outside the head with their numbers."""
     words, ends = words_in(texts)
     words = words.dictionary_encode()
-    class_of, place_of = m.classes_of(words.dictionary.to_numpy(zero_copy_only=False).tolist(), places, of)
+    class_of, place_of = m.classes_of(words.dictionary, head, of)
     codes = words.indices.to_numpy()
     at, starts = stream(ends, len(codes))
     own = at >= 0
@@ -456,7 +479,7 @@ def _scored(m: Model, texts: pa.Array, doc_ids: pa.Array, keys: np.ndarray, plac
     total = lambda x: np.add.reduceat(x, starts)
     sizes = np.diff(np.append(starts, len(at)))
     base = total(logs) + np.log10(m.end_count + 0.1) - np.log10(m.tokens + 0.1 * (m.distinct + 1)) * sizes
-    head = [doc_ids, pa.array(sizes), pa.array(total(in_head.astype(np.int64)) + int(m.end_count > 0)), pa.array(base), pa.array(total(scores))]
+    own_figures = [doc_ids, pa.array(sizes), pa.array(total(in_head.astype(np.int64)) + int(m.end_count > 0)), pa.array(base), pa.array(total(scores))]
     # each text's other words once; a text without any has a row all the same, under a word that no text holds
     doc = np.repeat(np.arange(len(texts)), sizes)[own]
     out = place_of[codes] < 0
@@ -468,4 +491,4 @@ def _scored(m: Model, texts: pa.Array, doc_ids: pa.Array, keys: np.ndarray, plac
     rest = pa.StructArray.from_arrays([tail, pa.array(np.append(n, np.zeros(len(bare), np.int64)))], ["word", "n"]).take(pa.array(order))
     offsets = np.append(0, np.cumsum(np.bincount(np.append(tail_doc, bare), minlength=len(texts))))
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.StructArray.from_arrays(head, names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)], ["key", "head", "rest"])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.StructArray.from_arrays(own_figures, names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)], ["key", "head", "rest"])
