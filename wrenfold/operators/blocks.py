@@ -6,11 +6,13 @@ Records are numbered in blocks of 64, so which of a block's records hold a token
     records   (entry_id, seq, block, slot, n)
     stats     (records, tokens)                                                  one row
 
-A row of `blocks` has an item for each block first + offs that holds the token, and from its place in froms on an item of
-ns, fs and places for each record there, in the order of bits. The columns that a step does not name are not read: bounds
-leave the latter three, scores the places. A task writes its rows sorted by token, so a lookup reads a few pages of each
-file and nothing is shuffled; merging segments sorts them across files.
-`dead` keeps`dead` keeps the slots of rows that later writes replaced or deleted. A search reads `blocks` for its terms: the
+Rows of blocks and of records are in the same files, with nulls in the columns of the other. A row of `blocks` has
+an item for each block first + offs that holds the token, and from its place in froms on an item of ns, fs and places
+for each record there, in the order of bits. The columns that a step does not name are not read: bounds
+leave the latter three, scores the places. A task writes each group's rows as they are made, sorted by token, in short
+pages: so nothing is shuffled, sorted by Spark or spilled, and a lookup reads a page or two of each group; merging segments
+sorts them across files.
+`dead` keeps the slots of rows that later writes replaced or deleted. A search reads `blocks` for its terms: the
 bits, without the dead, give every term's exact number of records (a term that is the start of several tokens counts
 a record once, by OR), and f_max and n_min bound what a block's best record can score. Blocks are then scored in the
 order of their bounds, the first FIRST of them, then GROWTH times as many, until no bound reaches the k-th best score:
@@ -35,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,8 @@ FIRST, GROWTH = 64, 8
 FANOUT, SMALLEST = 4, 10_000
 #: Blocks of a group, tokens from which a task begins another group, and rows of an Arrow batch that it sends back.
 GROUP, HELD, SENT = 128, 1 << 20, 20_000
+#: Rows of a page of a file at most.
+PAGE = 2_000
 #: A place is the column's number times this, plus the word's place in the column.
 COLUMN = 1 << 26
 
@@ -60,10 +65,10 @@ RECORDS = "entry_id string, seq long, block long, slot int, n int"
 DEAD = "segment string, block long, slot int, n int"
 _ITEMS = {"offs": pa.int32(), "bits": pa.int64(), "f_max": pa.float64(), "n_min": pa.int32(), "froms": pa.int32(), "ns": pa.int32(), "fs": pa.float64(), "places": pa.list_(pa.int32())}
 _MADE = pa.schema(
-    [("kind", pa.string()), ("token", pa.string()), ("first", pa.int64()), *[(c, pa.list_(t)) for c, t in _ITEMS.items()]]
+    [("token", pa.string()), ("first", pa.int64()), *[(c, pa.list_(t)) for c, t in _ITEMS.items()]]
     + [("entry_id", pa.string()), ("seq", pa.int64()), ("block", pa.int64()), ("slot", pa.int32()), ("n", pa.int32())]
 )
-_MADE_SQL = f"kind string, {BLOCKS}, entry_id string, seq long, block long, slot int, n int"
+_MADE_SQL = f"{BLOCKS}, entry_id string, seq long, block long, slot int, n int"
 
 
 @dataclass
@@ -95,7 +100,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Reco
 
 
 def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
-    """Numbers the records of each group, the shorter first, and makes their rows."""
+    """Numbers the records of each group, the shorter first, and makes their rows, those of blocks in the order of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
@@ -109,16 +114,17 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
             order = np.argsort(n, kind="stable")
             number[order] = np.arange(len(b))
             flat = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
-            names = flat.dictionary.to_pylist()
+            names = flat.dictionary
             if stemmed:
+                words_seen = names.to_pylist()
                 if len(known) > 200_000:
                     known.clear()
-                for w in names:
+                for w in words_seen:
                     if w not in known:
                         known[w] = stem(w)
-                names = [known[w] for w in names]
-            kinds = {w: k for k, w in enumerate(dict.fromkeys(names))}
-            key = np.array([kinds[w] for w in names], np.int64)[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
+                names = pa.array([known[w] for w in words_seen], pa.string())
+            kinds = names.unique().sort()
+            key = pc.index_in(names, kinds).to_numpy(zero_copy_only=False).astype(np.int64)[flat.indices.to_numpy()]
             del flat
             key <<= 32
             key |= np.concatenate([np.repeat(number, s) for s in sizes])
@@ -146,9 +152,9 @@ def _maker(weights: tuple[float, ...], stemmed: bool, batch_no: int):
                 "ns": (by_hit, lengths), "fs": (by_hit, f), "places": (by_hit, pa.ListArray.from_arrays(ends(hit, len(key)), pa.array(place))),
             }
             made = {c: pa.ListArray.from_arrays(to, x if isinstance(x, pa.Array) else pa.array(x)) for c, (to, x) in listed.items()}
-            made |= {"kind": pa.array(["blocks"] * len(token), pa.string()), "token": pa.array(list(kinds), pa.string()).take(pa.array(key[hit][block][token] >> 32)), "first": pa.array(np.full(len(token), at))}
+            made |= {"token": kinds, "first": pa.array(np.full(len(token), at))}
             held = {
-                "kind": pa.array(["records"] * len(b), pa.string()), "block": pa.array(at + number // SLOTS), "slot": pa.array((number % SLOTS).astype(np.int32)),
+                "block": pa.array(at + number // SLOTS), "slot": pa.array((number % SLOTS).astype(np.int32)),
                 "n": pa.array(n), "entry_id": b.column(0), "seq": b.column(1),
             }
             at += -(-len(b) // SLOTS)
@@ -219,7 +225,8 @@ class BlockIndex:
         return [b for s in self.segments() for b in range(int(s.split("-")[0]), int(s.split("-")[1]) + 1)]
 
     def _read(self, kind: str, schema: str, segments: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/segment={s}/kind={kind}") for s in segments]
+        own = F.col("token" if kind == "blocks" else "block").isNotNull()
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/segment={s}/rows").where(own) for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def dead(self, segments: list[str] | None = None) -> DataFrame:
@@ -239,8 +246,7 @@ class BlockIndex:
         made = rows.select("entry_id", F.col("seq").cast("long"), *words).mapInArrow(_maker(tuple(self.weights.values()), self.stemmed, batch), _MADE_SQL)
         name = f"{batch}-{batch}"
         folder = f"{self.root}/segment={name}"
-        # both kinds in one pass; the sort is within tasks
-        made.sortWithinPartitions("kind", "token", "first").write.option("compression", "zstd").mode("overwrite").partitionBy("kind").parquet(folder)
+        self._kept(made).mode("overwrite").parquet(f"{folder}/rows")  # both kinds in one pass
         self._add_stats(folder)
         if gone is not None:
             self.bury(gone, batch)
@@ -254,22 +260,22 @@ class BlockIndex:
         found.select("segment", "block", "slot", "n").write.mode("overwrite").parquet(f"{self.root}/dead={batch}/slots")
         self._mark(f"dead={batch}")
 
+    @staticmethod
+    def _kept(rows: DataFrame):
+        return rows.write.options(**{"compression": "zstd", "parquet.page.row.count.limit": str(PAGE)})
+
     def _write(self, name: str, blocks: DataFrame, records: DataFrame) -> None:
         folder = f"{self.root}/segment={name}"
         blocks = blocks.select(*[f.split()[0] for f in BLOCKS.split(", ")])
         # a range of a token is one of groups, so a common token is many partitions
-        blocks.repartitionByRange("token", "first").sortWithinPartitions("token", "first").write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/kind=blocks")
+        self._kept(blocks.repartitionByRange("token", "first").sortWithinPartitions("token", "first")).mode("overwrite").parquet(f"{folder}/rows")
         rows = records.select(*[c.split()[0] for c in RECORDS.split(", ")])
-        rows.repartitionByRange("block").sortWithinPartitions("block", "slot").write.mode("overwrite").parquet(f"{folder}/kind=records")
+        self._kept(rows.repartitionByRange("block").sortWithinPartitions("block", "slot")).mode("append").parquet(f"{folder}/rows")
         self._add_stats(folder)
 
     def _add_stats(self, folder: str) -> None:
-        """One row; a kind without rows gets its folder."""
-        for kind, schema in (("blocks", BLOCKS), ("records", RECORDS)):
-            at, fs = self._at(f"{folder}/kind={kind}")
-            if not fs.exists(at):
-                self.spark.createDataFrame([], schema).write.parquet(f"{folder}/kind={kind}")
-        stats = self.spark.read.schema(RECORDS).parquet(f"{folder}/kind=records").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+        """One row."""
+        stats = self.spark.read.schema(RECORDS).parquet(f"{folder}/rows").where("block is not null").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
         stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
     def compact(self) -> list[str]:
