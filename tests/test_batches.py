@@ -129,3 +129,16 @@ def test_one_key_for_two_named_entries(spark, tmp_path):
     again = save(spark, store, {"title": "One", "entry_id": a, "dedup_key": "new"}, {"title": "Two", "entry_id": b, "dedup_key": "new"}, {"title": "Two", "entry_id": b})
     assert [(again[k]["entry_id"], again[k]["merged"]) for k in range(3)] == [(a, False), (a, True), (b, True)]
     assert store.get_by_key("new").count() == 1 and store.current().count() == 2
+
+
+def test_folding_is_dealt_by_the_bytes_of_saves(spark, tmp_path, monkeypatch):
+    """Tasks of the folding are as many as the texts ask for, though the shuffled rows are few bytes."""
+    monkeypatch.setattr(batches, "FOLDED", 20_000)
+    kb = KnowledgeStore(spark, f"file://{tmp_path}/kb", embed=None)
+    i = F.col("id")
+    columns = {"title": F.lit("t"), "kind": F.lit("workflow"), "context": F.lit("c"), "content": F.lit("x"), "verification": F.lit("v"), "tags": F.array().cast("array<string>")}
+    none = F.lit(None).cast("string")
+    saves = spark.range(600).select(i.alias("seq"), *[v.alias(c) for c, v in columns.items()], none.alias("project_scope"), none.alias("entry_id"), F.concat(F.lit("k"), (i % 50).cast("string")).alias("dedup_key"))
+    kb.save(saves)
+    assert len(list((tmp_path / "kb" / "log" / "batch=1").glob("*.parquet"))) >= 4
+    assert kb.current().count() == 50 and kb.log().count() == 600

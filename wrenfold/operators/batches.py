@@ -34,6 +34,8 @@ from wrenfold.schema import NEAR_DUPLICATE, RECORD
 #: Bytes of texts that a task of the dealing gets, about, and saves of a range: states are appended to an array, whose
 #: copies are as many as the square of the range.
 PART, SAVES = 8 << 20, 256
+#: The same of a task of the folding, which takes far longer than its bytes let a reader of shuffles expect.
+FOLDED = 4 << 20
 #: Copies of a row a key to which a hot key's saves are dealt.
 SALTS = 16
 
@@ -294,5 +296,6 @@ def fold(plan: DataFrame, known: DataFrame, scratch: str, part_bytes: int = PART
         return F.struct(record.alias("last"), F.concat(state["out"], F.array(row)).alias("out"))
 
     begin = F.struct(F.col("old").alias("last"), F.array().cast(f"array<{made}>").alias("out")).cast(f"struct<last: {_TYPE}, out: array<{made}>>")
-    done = ranges.join(carried, ["entry_id", "part"]).select("entry_id", F.explode(F.aggregate("saves", begin, save, lambda s: s["out"])).alias("w"))
+    met = ranges.join(carried, ["entry_id", "part"]).repartition(max(1, -(-bytes_ // FOLDED)), "entry_id", "part")
+    done = met.select("entry_id", F.explode(F.aggregate("saves", begin, save, lambda s: s["out"])).alias("w"))
     return done.select("entry_id", "w.seq", "w.op", F.col("w.record.updated_at").alias("at"), "w.record.*", "w.embedding")
